@@ -129,7 +129,7 @@ class ByteBpe:
         self._bytes = [self.merges.tokens.get(k) for k in range(size)]
         self._split = splitter(pattern)
         self._piece = Recent(lambda p: np.array(self.merges.encode(p.encode()), "<u4").tobytes())
-        self._values = Chunked(lambda chunk: b"".join(map(self._piece.__getitem__, self._split(chunk)[0])))
+        self._values = Chunked(lambda chunk: b"".join(map(self._piece.__getitem__, self._split(chunk))))
 
     def encode(self, text: str) -> bytes:
         return b"".join(self._values(text))

@@ -58,17 +58,17 @@ class Chunked:
         return out
 
 
-def splitter(pattern: str, specials: list[str] = ()) -> Callable[[str], tuple[list[str], int]]:
-    """A function from a text to its pieces and the number of special strings cut out of it."""
-    find = regex.compile(pattern).findall
-    if not specials:
-        return lambda text: (find(text), 0)
-    cut = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))))
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """A function from a text to its pieces."""
+    return regex.compile(pattern).findall
+
 
-    def split(text: str) -> tuple[list[str], int]:
-        parts = cut.split(text)
-        if len(parts) == 1:
-            return find(text), 0
-        return [p for part in parts for p in find(part)], len(parts) - 1
+def special_cutter(specials: list[str]) -> Callable[[str], list[str]]:
+    """A function from a text to the stretches between special strings.
 
-    return split
+    A piece never reaches across a special string, so each stretch is a text of its own; there
+    is one stretch more than there are special strings.
+    """
+    if not specials:
+        return lambda text: [text]
+    return regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))).split

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, column, slices
-from .pieces import Chunked, splitter
+from .pieces import Chunked, special_cutter, splitter
 
 #: Pieces of byte-level BPE, as the public tokenizer files define them (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,7 +84,8 @@ class TokenCounter:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self._ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
         self._letters = byte_letters()
-        self._split = splitter(pattern, [t["content"] for t in spec["added_tokens"]])
+        self._split = splitter(pattern)
+        self._cut = special_cutter([t["content"] for t in spec["added_tokens"]])
         self._piece = Recent(self._count_piece)
         self._values = Chunked(self._count_chunk)
 
@@ -92,11 +93,11 @@ class TokenCounter:
         return count_symbols([self._letters[b] for b in piece.encode()], self._ranks)
 
     def _count_chunk(self, chunk: str) -> int:
-        pieces, specials = self._split(chunk)
-        return specials + sum(map(self._piece.__getitem__, pieces))
+        return sum(map(self._piece.__getitem__, self._split(chunk)))
 
     def __call__(self, text: str) -> int:
-        return sum(self._values(text))
+        parts = self._cut(text)
+        return len(parts) - 1 + sum(sum(self._values(part)) for part in parts)
 
 
 @lru_cache(maxsize=2)
