@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import round_trip
 from .decontaminate import contamination_report
+from .line_dedup import LINE_SQL, line_report
+from .order_minhash import neighbour_report
 from .quality import quality_report
 from .sharding import shard_report
 from .token_counts import count_report
@@ -26,10 +28,18 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(JSON_50K), end_id=2))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_report(table(spark, sf_dir, "documents"), public_tokenizers.path(JSON_50K))
 
@@ -50,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_store,
+        op2_line_dedup,
         op4_decontamination,
+        op5_order_minhash,
         op6_token_counts,
         op7_byte_bpe,
         op8_quality,
@@ -59,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_SQL}
