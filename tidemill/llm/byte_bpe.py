@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,7 +129,7 @@ class ByteBpe:
         size = max(self.merges.tokens) + 1
         self._bytes = [self.merges.tokens.get(k) for k in range(size)]
         self._split = splitter(pattern)
-        self._piece = Recent(lambda p: np.array(self.merges.encode(p.encode()), "<u4").tobytes())
+        self._piece = Recent(lambda p: array("I", self.merges.encode(p.encode())).tobytes(), 100_000)
         self._values = Chunked(lambda chunk: b"".join(map(self._piece.__getitem__, self._split(chunk))))
 
     def encode(self, text: str) -> bytes:

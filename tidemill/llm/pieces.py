@@ -19,19 +19,32 @@ class _Irregular(Exception):
     pass
 
 
+#: ASCII characters that are neither letters, digits nor white space (fixed values).
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Chunked:
     """Maps a text to the list of its chunks' values.
 
     ``of_chunk(str)`` gives the value of a whole stretch of text that starts and ends at piece
-    boundaries; a text's value is made up of its chunks' values in order.
+    boundaries; a text's value is made up of its chunks' values in order, which ``+`` joins.
+    Marks after a letter or digit start a piece, so an unknown chunk that ends in them takes its
+    value from that of the chunk without them.
     """
 
-    def __init__(self, of_chunk: Callable[[str], object], cached: int = 200_000):
+    def __init__(self, of_chunk: Callable[[str], object], cached: int = 400_000):
         self._whole = of_chunk
-        self._first = Recent(lambda w: of_chunk(self._regular(w)), cached // 4)
-        self._spaced = Recent(lambda w: of_chunk(" " + self._regular(w)), cached)
+        self._first = Recent(lambda w: of_chunk(self._regular(w)), cached // 8)
+        self._spaced = Recent(self._of_spaced, cached)
+        self._tail = Recent(of_chunk, 10_000)
         self._newline = of_chunk("\n")
 
+    def _of_spaced(self, word: str):
+        stem = self._regular(word).rstrip(_MARKS)
+        if stem and stem[-1].isalnum() and len(stem) < len(word):
+            return self._spaced[stem] + self._tail[word[len(stem) :]]
+        return self._whole(" " + word)
+
     @staticmethod
     def _regular(word: str) -> str:
         if not word or word[0].isspace() or word[-1].isspace():

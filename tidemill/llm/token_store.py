@@ -14,6 +14,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Recent, column, new_path, partitions, slices, staged, texts_of
 from .pieces import Chunked, special_cutter
+from .token_counts import byte_letters
 
 MAGIC = b"TMTOKEN1"
 TAIL = struct.Struct("<8sIIQQQ")
@@ -167,10 +169,18 @@ class LibraryEncoder:
         chunked = chunked and not any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
         added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self._added, self._cut = added, special_cutter([*added])
-        self._values = Chunked(self._encode) if chunked else None
+        self._model = self.tokenizer.model if spec["model"]["type"] == "BPE" else None
+        self._letters = byte_letters()
+        self._values = Chunked(self._encode_chunk) if chunked else None
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        """A space and letters are one piece, which the library's model takes as it is."""
+        if self._model is None or chunk[0] != " " or not chunk[1:].isalpha():
+            return self._encode(chunk)
+        return array("I", [x.id for x in self._model.tokenize(chunk.encode().decode("latin-1").translate(self._letters))]).tobytes()
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
