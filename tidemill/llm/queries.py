@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import round_trip
 from .decontaminate import contamination_report
 from .line_dedup import LINE_SQL, line_report
+from .ngram_join import similar_documents
 from .order_minhash import neighbour_report
 from .quality import quality_report
 from .sharding import shard_report
@@ -56,6 +57,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_byte_bpe,
         op8_quality,
         op9_sharding,
+        op10_ngram_join,
     )
 }
 
