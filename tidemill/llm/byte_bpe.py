@@ -203,3 +203,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), ids_sha256, decoded_sha256 of each whole text.
+
+    The digests are those of ``round_trip``; decoding is done from the ids that are returned.
+    """
+    encoded = encode_texts(docs.select("doc_id", "text"), path, pattern=pattern)
+    where = encoded.columns.index("ids")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _bpe(path, pattern)
+        for batch in slices(batches, 128):
+            packed = [np.array(x, "<u4").tobytes() for x in batch.column(where).to_pylist()]
+            ids = [hashlib.sha256(x).hexdigest() for x in packed]
+            decoded = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in packed]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), batch.column(where), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return encoded.mapInArrow(digest, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
