@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, column, slices, staged
 from .components import components
+from .vertical import SENT, answer_batches, fragment_rows
 
 #: Words of a shingle, and the least Jaccard similarity of a link in percent.
 WORDS = 3
@@ -62,53 +62,20 @@ def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
 def _count_shared(docs: DataFrame, n: int, fragments: int) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b, unshared of each row of ``docs``.
 
-    ``unshared`` counts the shingles that no other row has. Each task gathers batches of
-    documents and sends each fragment one row a batch: 32 bits of each shingle and its document,
-    or only the bits where two documents of the batch share it already. So a shingle that a
-    third of all documents have arrives once a batch. A fragment's task sorts its shingles and
-    answers each batch. Chance agreement of the bits can only make ``unshared`` too small.
+    ``unshared`` counts the shingles that no other row has (or a few less, by chance).
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         ids: list = []
-        number, part = 0, TaskContext.get().partitionId()
+        number = total = 0
 
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(s) for s in held], np.int64)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in held]
             meta = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes), "digest": pa.array(digests, pa.binary(16))})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, meta.schema) as out:
-                out.write_batch(meta)
-            tokens = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            first = np.ones(len(tokens), bool)
-            first[1:] = tokens[1:] != tokens[:-1]
-            at = np.flatnonzero(first)
-            lone = np.diff(np.append(at, len(tokens))) == 1
-            tokens, owner = tokens[at], owner[at]
-            high = ((tokens >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-            edges = np.searchsorted(high, np.arange(fragments + 1, dtype=np.uint64))
-            batch = (part << 32) | number
-            rows = {"fragment": [-1 - batch], "lone": [sink.getvalue().to_pybytes()], "owner": [b""], "multi": [b""]}
-            # low bits tell tokens apart: the high ones are nearly given by the fragment
-            low = (tokens & np.uint64(0xFFFFFFFF)).astype("<u4")
-            for f in np.flatnonzero(np.diff(edges)):
-                here = slice(edges[f], edges[f + 1])
-                mine = lone[here]
-                rows["fragment"].append(int(f))
-                rows["lone"].append(low[here][mine].tobytes())
-                rows["owner"].append(owner[here][mine].astype("<u2").tobytes())
-                rows["multi"].append(low[here][~mine].tobytes())
-            return pa.RecordBatch.from_pydict({
-                "fragment": pa.array(rows["fragment"], pa.int64()), "batch": pa.array([batch] * len(rows["fragment"]), pa.int64()),
-                "lone": pa.array(rows["lone"], pa.binary()), "owner": pa.array(rows["owner"], pa.binary()), "multi": pa.array(rows["multi"], pa.binary()),
-            })
-
-        total = 0
+            return fragment_rows(number, meta, np.concatenate(held), np.repeat(np.arange(len(held)), sizes), fragments, "<u2")
+
         for batch in slices(batches):
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
                 found = shingle_set(text, n)
@@ -121,42 +88,15 @@ def _count_shared(docs: DataFrame, n: int, fragments: int) -> DataFrame:
         if ids:
             yield flush()
 
-    def count(key: tuple, rows: pa.Table) -> pa.Table:
-        batches = rows.column("batch").to_pylist()
-        if key[0].as_py() < 0:
-            return pa.table({"batch": rows.column("batch"), "meta": rows.column("lone"), "owner": pa.nulls(len(batches), pa.binary())})
-        lone = [np.frombuffer(x, "<u4") for x in rows.column("lone").to_pylist()]
-        multi = [np.frombuffer(x, "<u4") for x in rows.column("multi").to_pylist()]
-        both = np.concatenate([*lone, *multi])
-        order = np.argsort(both, kind="stable")
-        ranked = both[order]
-        same = np.zeros(len(ranked), bool)
-        if len(ranked) > 1:
-            twin = ranked[1:] == ranked[:-1]
-            same[1:] |= twin
-            same[:-1] |= twin
-        shared = np.empty(len(both), bool)
-        shared[order] = same
-        out, at = [], 0
-        for mine, owners in zip(lone, rows.column("owner").to_pylist(), strict=True):
-            out.append(np.frombuffer(owners, "<u2")[~shared[at : at + len(mine)]].tobytes())
-            at += len(mine)
-        return pa.table({"batch": rows.column("batch"), "meta": pa.nulls(len(batches), pa.binary()), "owner": pa.array(out, pa.binary())})
-
-    def gather(key: tuple, rows: pa.Table) -> pa.Table:
-        metas = [x for x in rows.column("meta").to_pylist() if x is not None]
-        meta = pa.ipc.open_stream(metas[0]).read_all()
-        owners = b"".join(x for x in rows.column("owner").to_pylist() if x)
-        unshared = np.bincount(np.frombuffer(owners, "<u2"), minlength=len(meta))
+    def finish(meta: pa.Table, owners: np.ndarray) -> pa.Table:
         digests = np.frombuffer(b"".join(meta.column("digest").to_pylist()), "<i8").reshape(-1, 2)
         return pa.table({
             "doc_id": meta.column("doc_id"), "n_shingles": meta.column("n"),
-            "set_a": pa.array(digests[:, 0].copy()), "set_b": pa.array(digests[:, 1].copy()), "unshared": pa.array(unshared.astype(np.int64)),
+            "set_a": pa.array(digests[:, 0].copy()), "set_b": pa.array(digests[:, 1].copy()),
+            "unshared": pa.array(np.bincount(owners, minlength=len(meta)).astype(np.int64)),
         })
 
-    sent = docs.mapInArrow(send, "fragment long, batch long, lone binary, owner binary, multi binary")
-    counted = sent.groupBy("fragment").applyInArrow(count, "batch long, meta binary, owner binary")
-    return counted.groupBy("batch").applyInArrow(gather, "doc_id long, n_shingles long, set_a long, set_b long, unshared long")
+    return answer_batches(docs.mapInArrow(send, SENT), "<u2", finish, "doc_id long, n_shingles long, set_a long, set_b long, unshared long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:

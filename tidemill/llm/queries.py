@@ -12,6 +12,7 @@ from .decontaminate import contamination_report
 from .line_dedup import LINE_SQL, line_report
 from .ngram_join import similar_documents
 from .order_minhash import neighbour_report
+from .passages import passage_report
 from .quality import quality_report
 from .sharding import shard_report
 from .token_counts import count_report
@@ -33,6 +34,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_store,
         op2_line_dedup,
+        op3_substring_dedup,
         op4_decontamination,
         op5_order_minhash,
         op6_token_counts,
