@@ -20,6 +20,8 @@ from .contracts import ContractError, schema_of
 OPTIONS = {
     "csv": {"delimiter"}, "tsv": set(), "json": {"layout"}, "parquet": set(), "xml": {"row"}, "text": set(), "avro": set(),
 }
+#: Date tokens and the partition columns that stand for them (fixed values).
+CALENDAR = {"yyyy": "year", "yy": "year", "MM": "month", "dd": "day", "HH": "hour", "mm": "minute"}
 #: Bytes that one archive may unpack to.
 ARCHIVE_BYTES = 1 << 30
 
@@ -150,9 +152,8 @@ def _swap(spark: SparkSession, new: str, path: str) -> None:
 
 def write_by_calendar(df: DataFrame, path: str, column: str, template: str, kind: str = "parquet") -> None:
     """Write each row to the folder that ``template`` gives for its time, such as {yyyy}/{MM}."""
-    names = re.findall(r"\{(\w+)\}", template)
-    parts = {n: F.date_format(column, n) for n in names}
-    write_files(df.withColumns(parts), kind, path, by=names)
+    parts = hive_parts(column, template)
+    write_files(df.withColumns(parts), kind, path, by=[*parts])
 
 
 def with_policy(target: dict[str, str], df: DataFrame, policy: str) -> DataFrame:
@@ -166,4 +167,4 @@ def with_policy(target: dict[str, str], df: DataFrame, policy: str) -> DataFrame
 
 def hive_parts(column: str, template: str) -> dict[str, Column]:
     """The partition columns of ``write_by_calendar``."""
-    return {n: F.date_format(column, n) for n in re.findall(r"\{(\w+)\}", template)}
+    return {CALENDAR[n]: F.date_format(column, n) for n in re.findall(r"\{(\w+)\}", template)}
