@@ -81,11 +81,13 @@ def apply_changes(target: DataFrame, upserts: DataFrame, deletes: DataFrame, key
 def merge_guard(incoming: DataFrame, keys: list[str]) -> DataFrame:
     """One row: null_key_rows, duplicate_groups, extra_rows of a batch that is to be merged."""
     some_null = F.lit(False)
-    for k in keys:
-        some_null = some_null | F.col(k).isNull()
-    groups = incoming.groupBy(*keys).agg(F.count("*").alias("k")).withColumn("has_null", some_null)
+    for key in keys:
+        some_null = some_null | F.col(key).isNull()
+    count, null = fresh(incoming, "n_rows", "has_null")
+    groups = incoming.groupBy(*keys).agg(F.count("*").alias(count)).withColumn(null, some_null)
+    several = ~F.col(null) & (F.col(count) > 1)
     return groups.agg(
-        F.coalesce(F.sum(F.when(F.col("has_null"), F.col("k"))), F.lit(0)).cast("long").alias("null_key_rows"),
-        F.coalesce(F.sum(F.when(~F.col("has_null") & (F.col("k") > 1), 1)), F.lit(0)).cast("long").alias("duplicate_groups"),
-        F.coalesce(F.sum(F.when(~F.col("has_null") & (F.col("k") > 1), F.col("k") - 1)), F.lit(0)).cast("long").alias("extra_rows"),
+        F.coalesce(F.sum(F.when(F.col(null), F.col(count))), F.lit(0)).cast("long").alias("null_key_rows"),
+        F.count_if(several).alias("duplicate_groups"),
+        F.coalesce(F.sum(F.when(several, F.col(count) - 1)), F.lit(0)).cast("long").alias("extra_rows"),
     )

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import fresh
+
 #: Rows of a sample of violations, at most.
 SAMPLE_ROWS = 5
 
@@ -27,7 +29,8 @@ def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def unique(df: DataFrame, columns: list[str]) -> DataFrame:
     """Groups of equal values (null is one) that have several rows."""
-    return _result(df.groupBy(*columns).agg(F.count("*").alias("k")), "unique", F.count_if(F.col("k") > 1))
+    count, = fresh(df, "n_rows")
+    return _result(df.groupBy(*columns).agg(F.count("*").alias(count)), "unique", F.count_if(F.col(count) > 1))
 
 
 def row_count(df: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
@@ -58,7 +61,8 @@ def violating_rows(df: DataFrame, check: str, columns: list[str], values: list |
     if check == "not_null":
         return df.where(_any_null(columns)).limit(SAMPLE_ROWS)
     if check == "unique":
-        return df.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").limit(SAMPLE_ROWS)
+        count, = fresh(df, "n_rows")
+        return df.groupBy(*columns).agg(F.count("*").alias(count)).where(F.col(count) > 1).limit(SAMPLE_ROWS)
     if check == "accepted_values":
         return df.where(F.col(columns[0]).isNotNull() & ~F.col(columns[0]).isin(values or [])).select(columns[0]).distinct().limit(SAMPLE_ROWS)
     raise ValueError(f"no sample for the check {check!r}")

@@ -33,9 +33,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
         return line.withColumn(kept, seen).where(F.col(row).isNotNull()).select(f"{row}.*", *[F.col(f"{kept}.{c}").alias(c) for c in extra])
     seconds = F.col(at).cast("timestamp").cast("double") if "timestamp" in dict(line.dtypes)[at] else F.col(at).cast("double")
     line = line.withColumn(slot, F.floor(seconds / width))
-    ends = line.where(F.col(payload).isNotNull()).groupBy(*by, slot).agg(F.max(F.struct(at, payload)).alias(last))
-    slots = line.groupBy(*by, slot).agg(F.lit(1).alias(side)).drop(side)
-    known = slots.join(ends, [*by, slot], "left")
+    known = line.groupBy(*by, slot).agg(F.max(F.when(F.col(payload).isNotNull(), F.struct(at, payload))).alias(last))
     before = Window.partitionBy(*by).orderBy(F.col(slot).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     known = known.select(*by, slot, F.last(last, ignorenulls=True).over(before)[payload].alias(kept))
     here = Window.partitionBy(*by, slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
