@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh, new_path, shared_dir, staged
 
-__all__ = ["Recent", "column", "fresh", "new_path", "partitions", "shared_dir", "slices", "staged", "texts_of", "utf8_bytes"]
+__all__ = ["Recent", "column", "fresh", "new_path", "partitions", "rows_beside", "rows_of", "shared_dir", "slices", "staged", "texts_of", "utf8_bytes"]
 
 
 def texts_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -18,6 +18,39 @@ def texts_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+#: Buckets of keys: a table of bucket numbers has as many rows at most, so it may be broadcast.
+KEY_BUCKETS = 1 << 20
+
+
+def _buckets(keys: DataFrame, key: str, bucket: str) -> DataFrame:
+    found = keys.select(F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int").alias(bucket)).distinct()
+    return F.broadcast(staged(found, "buckets"))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` (long ``key``) whose key is in ``keys``, for keys of few documents.
+
+    Most rows of other keys fall to the broadcast buckets, so their texts aren't shuffled; a
+    semi join decides about the rest.
+    """
+    bucket, = fresh(docs, "bucket")
+    near = docs.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")).join(_buckets(keys, key, bucket), bucket, "left_semi")
+    return near.join(keys.select(key).distinct(), key, "left_semi").select(*docs.columns)
+
+
+def rows_beside(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` (long ``key``) whose key isn't in ``keys``; null keys stay.
+
+    The counterpart of ``rows_of``: rows of free buckets pass without a shuffle.
+    """
+    bucket, = fresh(docs, "bucket")
+    placed = docs.withColumn(bucket, F.coalesce(F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"), F.lit(0)))
+    buckets = _buckets(keys, key, bucket)
+    free = placed.join(buckets, bucket, "left_anti")
+    near = placed.join(buckets, bucket, "left_semi").join(keys.select(key).distinct(), key, "left_anti")
+    return free.select(*docs.columns).unionAll(near.select(*docs.columns))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, column, slices, staged
+from .common import Recent, column, fresh, rows_beside, rows_of, slices, staged
 from .components import components
 from .vertical import SENT, answer_batches, fragment_rows
 
@@ -200,7 +200,7 @@ def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -
     classes = staged(classes, "classes")
     able = classes.where(100 * (F.col("n") - F.col("unshared")) >= percent * F.col("n")).select("doc", "set_a", "set_b", "n")
     able = staged(able, "able")
-    chosen = slim.join(able.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    chosen = rows_of(slim, able.select(F.col("doc").alias("doc_id")), "doc_id")
     sets = staged(_sets(chosen, n).join(able, ["doc", "set_a", "set_b"]).dropDuplicates(["doc"]).select("doc", "n", "tokens"), "sets")
     found = staged(link_components(sets, percent), "components")
     copies = staged(classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"), "k", "doc").where((F.col("k") > 1) | (F.col("component") != F.col("doc"))), "copies")
@@ -216,5 +216,6 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
     words or doc_id stay. Rows of one doc_id stay or go together.
     """
     found = similar_documents(docs.select("doc_id", "text"), n, percent)
-    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    key, = fresh(docs, "key")
+    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)), "gone")
+    return rows_beside(docs.withColumn(key, F.col("doc_id").cast("long")), gone, key).select(*docs.columns)
