@@ -152,3 +152,25 @@ def test_state_and_retry(tmp_path):
     assert with_retry(step, sleep=pauses.append) == "ok" and 0.75 <= pauses[0] <= 1.25 and 1.5 <= pauses[1] <= 2.5
     with pytest.raises(ValueError):
         with_retry(lambda: int("x"), sleep=pauses.append)
+
+
+def test_retry_takes_over_what_was_done(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, 1.0), (2, 2.0)], "id long, v double").write.parquet(path)
+    d = {
+        "name": "p", "sources": [{"connection": "c", "entity": "e", "path": path}],
+        "pipelines": [
+            {"name": "a", "sql": "select * from {{ source('c', 'e') }}", "materialization": "table", "outputs": [{"name": "o", "path": out, "mode": "append"}]},
+            {"name": "b", "sql": "select id, raise_error('no') as v from {{ ref('a') }}", "outputs": [{"name": "q", "path": out + "2", "mode": "replace"}]},
+        ],
+    }
+    first = Run(spark, from_dict(d), State(str(tmp_path / "s.json")), folder=str(tmp_path / "runs"))
+    assert {n: r.status for n, r in first.execute().items()} == {"a": "done", "b": "failed"}
+    spark.createDataFrame([(3, 3.0)], "id long, v double").write.mode("append").parquet(path)
+    d["pipelines"][1]["sql"] = "select id, v from {{ ref('a') }}"
+    second = Run(spark, from_dict(d), State(str(tmp_path / "s.json")), folder=str(tmp_path / "runs"), retry_of=first.save())
+    assert {n: r.status for n, r in second.execute().items()} == {"a": "reused", "b": "done"}
+    assert spark.read.parquet(out).count() == 2 and spark.read.parquet(out + "2").count() == 2
+    d["pipelines"][0]["sql"] += " where id > 0"
+    third = Run(spark, from_dict(d), State(str(tmp_path / "s.json")), folder=str(tmp_path / "runs"), retry_of=second.save())
+    assert third.execute()["a"].status == "done" and spark.read.parquet(out + "2").count() == 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.sources import files, paths
 from tidemill.sources.contracts import ContractError, convert, pointer_path, project_json, schema_of
-from tidemill.sources.pages import PagedSource, at_pointer
+from tidemill.sources.pages import PagedSource, at_pointer, fetch_each
 
 
 def test_csv_contract_guards_the_header(spark, tmp_path):
@@ -68,6 +68,7 @@ def test_path_cover():
 
 class Service(BaseHTTPRequestHandler):
     busy = 1
+    got = []
 
     def do_GET(self):
         from urllib.parse import parse_qsl, urlsplit
@@ -89,6 +90,13 @@ class Service(BaseHTTPRequestHandler):
         self.end_headers()
         self.wfile.write(json.dumps(body).encode())
 
+    def do_POST(self):
+        Service.got.append((self.command, self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+        self.send_response(200)
+        self.end_headers()
+
+    do_PUT = do_POST
+
     def log_message(self, *_):
         pass
 
@@ -104,6 +112,25 @@ def test_paged_service(spark, paging):
     assert sorted((r.id, r.v, r.none) for r in read.load().collect()) == [(k, f"x{k}", None) for k in range(8)]
     if paging in ("page", "offset"):
         assert read.option("pages", 3).option("size", 3).load().count() == 8
+    with pytest.raises(Exception, match="newest first"):
+        read.option("stop_pointer", "/id").option("stop_at", -1).load().collect()
+    server.shutdown()
+
+
+def test_requests_for_each_row_and_writes(spark):
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PagedSource)
+    url = f"http://127.0.0.1:{server.server_port}"
+    keys = spark.createDataFrame([(0,), (3,), (99,)], "at long")
+    got = fetch_each(keys, url + "/cursor?cursor={at}", {"id": ("/id", "bigint"), "v": ("/n/v", "varchar")}, "/items")
+    assert sorted(map(tuple, got.collect())) == [(0, 0, "x0"), (0, 1, "x1"), (0, 2, "x2"), (3, 3, "x3"), (3, 4, "x4"), (3, 5, "x5")]
+    rows = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "id long, v string").coalesce(1)
+    rows.write.format("pages").mode("append").option("url", url + "/in").option("size", 2).save()
+    assert [len(body) for _, _, body in Service.got] == [2, 2, 1] and Service.got[0][2][0] == {"id": 0, "v": "v0"}
+    Service.got.clear()
+    rows.limit(1).write.format("pages").mode("append").option("url", url + "/in/{id}").option("method", "PUT").save()
+    assert Service.got == [("PUT", "/in/0", {"id": 0, "v": "v0"})]
     server.shutdown()
 
 

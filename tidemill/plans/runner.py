@@ -55,9 +55,15 @@ def with_retry(step: Callable, attempts: int = 3, base: float = 1.0, cap: float
 
 
 class Run:
-    """One run of a project over a session, with its state and events."""
+    """One run of a project over a session, with its state and events.
 
-    def __init__(self, spark: SparkSession, project: Project, state: State, now: datetime | None = None, events: str | None = None):
+    With a ``folder`` (one that all executors see), what is written once stays there under the run's
+    id, beside ``results.json``. A run that gets the results of a failed one as ``retry_of`` takes over
+    what that had done: nodes of the same content aren't delivered again, and their tables are
+    read if their rows are still all there.
+    """
+
+    def __init__(self, spark: SparkSession, project: Project, state: State, now: datetime | None = None, events: str | None = None, folder: str | None = None, retry_of: str | None = None):
         self.spark, self.project, self.state = spark, project, state
         self.now = now or datetime.now(timezone.utc).replace(tzinfo=None)
         self.id = uuid.uuid4().hex
@@ -66,8 +72,35 @@ class Run:
         self.slices: dict[str, Slice] = {}
         self.deletes: dict[str, DataFrame] = {}
         self.loaded: dict[str, DataFrame] = {}
+        self.kept: dict[str, dict] = {}
+        self.folder = folder
+        self.before: dict[str, dict] = json.loads(Path(retry_of).read_text())["nodes"] if retry_of else {}
+        self.nodes = self.manifest()
         self._events = Path(events) if events else None
 
+    def _took_over(self, name: str) -> DataFrame | None:
+        """What an earlier run wrote for a node of the same content, if it is whole."""
+        old = self.before.get(name)
+        if not old or old["node"] != self.nodes[name] or old["status"] not in ("done", "reused") or not old.get("path"):
+            return None
+        try:
+            df = self.spark.read.parquet(old["path"])
+            whole = df.count() == old["rows"]
+        except AnalysisException:
+            return None
+        if not whole:
+            return None
+        self.kept[name] = {"path": old["path"], "rows": old["rows"]}
+        return df
+
+    def save(self) -> str:
+        """Write results.json into the run's folder; returns its path."""
+        path = Path(self.folder.removeprefix("file://")) / self.id / "results.json"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        nodes = {n: asdict(r) | {"node": self.nodes[n]} | self.kept.get(n, {}) for n, r in self.results.items()}
+        path.write_text(json.dumps({"run": self.id, "nodes": nodes}, indent=1))
+        return str(path)
+
     def event(self, kind: str, **what) -> None:
         if self._events:
             with self._events.open("a") as f:
@@ -107,12 +140,22 @@ class Run:
         df.createOrReplaceTempView(source.view)
 
     def build(self, pipeline: Pipeline) -> DataFrame:
+        old = self._took_over(pipeline.name)
+        if old is not None:
+            old.createOrReplaceTempView(pipeline.name)
+            return old
         marks = {(s.connection, s.entity): self.mark(s) for s in self.rendered[pipeline.name].watermarks}
         sql = render(self.project, pipeline, marks, {"run_id": self.id, "run_started_at": self.now.isoformat()}).sql
         df = self.spark.sql(sql)
         readers = len(pipeline.outputs) + len(pipeline.checks)
         if pipeline.materialization == "table" or (readers > 1 and pipeline.materialization != "ephemeral"):
-            df = staged(df, pipeline.name)
+            if self.folder:
+                path = f"{self.folder}/{self.id}/{pipeline.name}"
+                df.write.parquet(path)
+                df = self.spark.read.parquet(path)
+                self.kept[pipeline.name] = {"path": path, "rows": df.count()}
+            else:
+                df = staged(df, pipeline.name)
         df.createOrReplaceTempView(pipeline.name)
         return df
 
@@ -190,6 +233,11 @@ class Run:
                 continue
             try:
                 df = self.build(pipeline)
+                old = self.before.get(name, {})
+                again = old.get("node") == self.nodes[name] and old.get("status") in ("done", "reused")
+                if again:
+                    self.results[name] = Result(name, "reused", violations=old.get("violations", {}))
+                    continue
                 if name in chosen:
                     violations = self.check(pipeline, df)
                     for output in pipeline.outputs:
@@ -201,6 +249,8 @@ class Run:
                 self.results[name] = Result(name, "failed", message=f"{type(e).__name__}: {str(e)[:500]}")
             self.event("node_finished", **asdict(self.results[name]))
         self.advance()
+        if self.folder:
+            self.save()
         self.event("run_finished", failed=[n for n, r in self.results.items() if r.status == "failed"])
         return self.results
 

@@ -5,7 +5,10 @@ url, paging and columns (a contract as JSON: {name: [pointer, type]}). The rows
 array at ``items``. Paging is one of: ``page`` (?page=1, 2 ... until a page is empty), ``offset``
 (?offset=0, n ...), ``cursor`` (the token at ``next`` comes back as ?cursor=), ``next_url`` (the
 address at ``next``), ``link`` (the Link header's rel="next"). With ``pages`` given, pages are
-read in parallel, each in a task of its own; otherwise one task follows the chain.
+read in parallel, each in a task of its own; otherwise one task follows the chain. ``headers``
+(JSON) go with each request. For services that list the newest first, ``stop_pointer`` and
+``stop_at`` end the chain at the first row that isn't above the stored watermark; a row that is
+newer than the one before it fails the read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from collections.abc import Iterator
 from datetime import datetime
 from decimal import Decimal
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .contracts import schema_of
@@ -62,13 +67,14 @@ def _typed(value, kind: str):
         return None
 
 
-def fetch(url: str, attempts: int = 3, base: float = 1.0, cap: float = 30.0):
+def fetch(url: str, headers: dict[str, str] | None = None, body: bytes | None = None, method: str | None = None, attempts: int = 3, base: float = 1.0, cap: float = 30.0):
     """The page at ``url`` and its headers. Busy and failing servers are asked again after a pause
     that doubles, or as long as Retry-After says."""
     for attempt in range(attempts):
         try:
-            with urllib.request.urlopen(url, timeout=60) as answer:
-                return json.load(answer), answer.headers
+            request = urllib.request.Request(url, body, headers or {}, method=method)
+            with urllib.request.urlopen(request, timeout=60) as answer:
+                return json.loads(answer.read() or b"null"), answer.headers
         except urllib.error.HTTPError as e:
             if attempt + 1 == attempts or (e.code != 429 and e.code < 500):
                 raise
@@ -124,20 +130,86 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Page) -> Iterator[tuple]:
         url, number, seen = partition.url, 0, set()
+        headers_out = json.loads(self.options.get("headers", "{}"))
+        stop, pointer, newest = self.options.get("stop_at"), self.options.get("stop_pointer", ""), None
         if partition.follow and self.paging == "page":
             url = _with(url, page=1)
         while url:
             if url in seen:
                 raise ValueError(f"the service leads back to {url}")
             seen.add(url)
-            page, headers = fetch(url)
+            page, headers = fetch(url, headers_out)
             rows = at_pointer(page, self.options.get("items", "")) or []
             for row in rows:
+                if stop is not None:
+                    at = at_pointer(row, pointer)
+                    at, least = (at, float(stop)) if isinstance(at, (int, float)) else (str(at), stop)
+                    if newest is not None and at > newest:
+                        raise ValueError("the service doesn't list the newest first")
+                    newest = at
+                    if at <= least:
+                        return
                 yield tuple(_typed(at_pointer(row, p), t) for p, t in self.columns.values())
             url = self._next(url, number, len(rows), page, headers) if partition.follow else None
             number += 1
 
 
+def fetch_each(keys: DataFrame, template: str, columns: dict[str, tuple[str, str]], items: str = "", headers: dict[str, str] | None = None) -> DataFrame:
+    """The rows of a request for each row of ``keys``: ``{name}`` in the address is that column.
+
+    Requests run where the rows are, so ``keys.repartition(n)`` sets how many run at once.
+    """
+
+    def get(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.to_dict("records"):
+                url = re.sub(r"\{(\w+)\}", lambda m, row=row: urllib.parse.quote(str(row[m[1]]), safe=""), template)
+                page, _ = fetch(url, headers)
+                found = at_pointer(page, items)
+                found = found if isinstance(found, list) else [] if found is None else [found]
+                if found:
+                    yield pd.DataFrame([[*row.values(), *(_typed(at_pointer(x, p), t) for p, t in columns.values())] for x in found], columns=[*row, *columns], dtype=object)
+
+    schema = StructType([*keys.schema.fields, *schema_of({c: t for c, (_, t) in columns.items()}).fields])
+    return keys.mapInPandas(get, schema)
+
+
+class Sent(WriterCommitMessage):
+    def __init__(self, requests: int):
+        self.requests = requests
+
+
+class PagedWriter(DataSourceWriter):
+    """Sends rows as JSON: ``method`` POST in lists of ``size``; PUT or PATCH one by one to the
+    address with ``{name}`` replaced by the row's column. A task that is run again sends again."""
+
+    def __init__(self, options: dict, schema: StructType):
+        self.options, self.names = {k.lower(): v for k, v in options.items()}, schema.names
+
+    def write(self, rows: Iterator) -> Sent:
+        url, method, size = self.options["url"], self.options.get("method", "POST"), int(self.options.get("size", 100))
+        headers = {"Content-Type": "application/json"} | json.loads(self.options.get("headers", "{}"))
+        held, sent = [], 0
+
+        def send(where: str, what) -> None:
+            fetch(where, headers, json.dumps(what, default=str).encode(), method)
+
+        for row in rows:
+            record = dict(zip(self.names, row, strict=True))
+            if method == "POST":
+                held.append(record)
+                if len(held) == size:
+                    send(url, held)
+                    held, sent = [], sent + 1
+            else:
+                send(re.sub(r"\{(\w+)\}", lambda m, record=record: urllib.parse.quote(str(record[m[1]]), safe=""), url), record)
+                sent += 1
+        if held:
+            send(url, held)
+            sent += 1
+        return Sent(sent)
+
+
 class PagedSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -149,3 +221,6 @@ class PagedSource(DataSource):
 
     def reader(self, schema: StructType) -> PagedReader:
         return PagedReader(dict(self.options), schema)
+
+    def writer(self, schema: StructType, overwrite: bool) -> PagedWriter:
+        return PagedWriter(dict(self.options), schema)
