@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh, new_path, shared_dir, staged
 
-__all__ = ["Recent", "column", "fresh", "new_path", "partitions", "rows_beside", "rows_of", "shared_dir", "slices", "staged", "texts_of", "utf8_bytes"]
+__all__ = ["Recent", "column", "fresh", "near_rows", "new_path", "partitions", "rows_beside", "rows_of", "shared_dir", "slices", "staged", "texts_of", "utf8_bytes"]
 
 
 def texts_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -27,15 +27,21 @@ def _buckets(keys: DataFrame, key: str, bucket: str) -> DataFrame:
     return F.broadcast(staged(found, "buckets"))
 
 
+def near_rows(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` (long ``key``) whose key falls into a bucket of ``keys``: all rows of
+    these keys and, while they are few, hardly any other. Nothing is shuffled."""
+    bucket, = fresh(docs, "bucket")
+    placed = docs.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
+    return placed.join(_buckets(keys, key, bucket), bucket, "left_semi").select(*docs.columns)
+
+
 def rows_of(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` (long ``key``) whose key is in ``keys``, for keys of few documents.
 
-    Most rows of other keys fall to the broadcast buckets, so their texts aren't shuffled; a
-    semi join decides about the rest.
+    Most rows of other keys fall to the buckets before their texts are shuffled; a semi join
+    decides about the rest.
     """
-    bucket, = fresh(docs, "bucket")
-    near = docs.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")).join(_buckets(keys, key, bucket), bucket, "left_semi")
-    return near.join(keys.select(key).distinct(), key, "left_semi").select(*docs.columns)
+    return near_rows(docs, keys, key).join(keys.select(key).distinct(), key, "left_semi").select(*docs.columns)
 
 
 def rows_beside(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
