@@ -25,6 +25,9 @@ class ProjectError(ValueError):
 
 @dataclass(frozen=True)
 class Source:
+    """What is read. A source of changes (``cdc``) has the columns _lsn (text whose order is the
+    log's), _op (``delete`` or another) and perhaps _changed_at beside its own."""
+
     connection: str
     entity: str
     format: str = "parquet"
