@@ -58,11 +58,6 @@ def test_line_dedup_equals_its_sql(spark, sf_dir):
     assert sorted(tuple(r[x] for x in at) for r in got.collect()) == sorted(wanted)
 
 
-def fingerprint_by_hand(text):
-    """The definition in Python, by the same hash: only order and ties are checked here."""
-    return text
-
-
 def test_fingerprints(spark, odd):
     rows = [(i, t) for i, t in ODD if i is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -141,7 +141,7 @@ def test_near_passages_are_recalled(spark):
             rows.append((k, " ".join(w) + "."))
             k += 1
     got = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id for r in got} >= set(range(1, k, 2)) - {r for r in range(k) if False} or len(got) >= 0.97 * k / 2
+    assert len({r.doc_id for r in got}) >= 0.97 * k / 2
     assert all(r.sources == [r.doc_id - 1] for r in got)
 
 
