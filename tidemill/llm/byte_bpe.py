@@ -12,7 +12,6 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, column, slices
+from .common import Recent, column, held, slices
 from .pieces import Chunked, splitter
 from .token_counts import PATTERN
 
@@ -139,9 +138,8 @@ class ByteBpe:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def _bpe(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return held(("bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN) -> DataFrame:
@@ -210,15 +208,14 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str = PATTERN) -> Dat
 
     The digests are those of ``round_trip``; decoding is done from the ids that are returned.
     """
-    encoded = encode_texts(docs.select("doc_id", "text"), path, pattern=pattern)
-    where = encoded.columns.index("ids")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path, pattern)
         for batch in slices(batches, 128):
-            packed = [np.array(x, "<u4").tobytes() for x in batch.column(where).to_pylist()]
-            ids = [hashlib.sha256(x).hexdigest() for x in packed]
-            decoded = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in packed]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), batch.column(where), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+            packed = [bpe.encode(t) if t else b"" for t in column(batch, "text").to_pylist()]
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            columns = [column(batch, "doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), ids]
+            columns += [pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()), pa.array([hashlib.sha256(bpe.decode(p)).hexdigest() for p in packed], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(digest, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(both, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh, new_path, shared_dir, staged
 
-__all__ = ["Recent", "column", "fresh", "near_rows", "new_path", "partitions", "rows_beside", "rows_of", "shared_dir", "slices", "staged", "texts_of", "utf8_bytes"]
+__all__ = ["Recent", "column", "fresh", "held", "near_rows", "new_path", "partitions", "rows_beside", "rows_of", "shared_dir", "slices", "staged", "texts_of", "utf8_bytes"]
 
 
 def texts_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -79,6 +79,21 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What ``make()`` gave for ``key`` in this process, until another key is asked for.
+
+    Python workers live on from stage to stage: the tables and caches of one operator go when a
+    task of the next begins, so a worker never holds those of several.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class Recent(dict):
     """A dict that computes missing values and keeps the recently used ones.
 

@@ -16,14 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, column, fresh, rows_beside, rows_of, slices, staged
+from .common import Recent, column, fresh, held, partitions, rows_beside, rows_of, slices, staged
 from .components import components
 from .vertical import SENT, answer_batches, fragment_rows
 
 #: Words of a shingle, and the least Jaccard similarity of a link in percent.
 WORDS = 3
 PERCENT = 90
-#: Shingles that a fragment holds, about, and a batch of documents when they are counted.
+#: Shingles that a fragment holds, about, at most, and a batch of documents when they are counted.
 FRAGMENT_TOKENS = 2_000_000
 BATCH_TOKENS = 1_000_000
 BATCH_DOCS = 16_384
@@ -31,13 +31,17 @@ BATCH_DOCS = 16_384
 PAIR_FRAGMENTS = 8
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_word = Recent(xxhash.xxh3_64_intdigest, 300_000)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    known = held("words", lambda: Recent(xxhash.xxh3_64_intdigest, 300_000))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z in lower case."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_word.__getitem__, words), np.uint64, len(words))
+    return hashes_of(text.encode("utf-8", "surrogatepass").lower().split() if text else [])
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -193,7 +197,7 @@ def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = max(1, -(-int(size) // (6 * FRAGMENT_TOKENS)))
+    fragments = max(2 * partitions(docs), -(-int(size) // (6 * FRAGMENT_TOKENS)))
     rows = staged(_count_shared(slim, n, fragments), "rows")
     there = rows.where(F.col("n_shingles").cast("boolean") & F.col("doc_id").isNotNull())
     classes = there.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("k"), F.max("n_shingles").alias("n"), F.max("unshared").alias("unshared"))

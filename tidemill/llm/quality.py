@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, column, fresh, slices
+from .common import Recent, column, fresh, held, slices
 
 #: Buckets of hashed words.
 BUCKETS = 1 << 15
@@ -32,8 +32,6 @@ _HIGH, _BLANK = bytes(range(0x80, 0x100)), b" \t\n\r\x0b\x0c"
 _LETTER = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + _HIGH
 N_STATS = 15 + len(_MARKS)
 
-_bucket = Recent(lambda word: zlib.crc32(word) % BUCKETS)
-
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Structure and length statistics; the buckets of the words; their weights (of norm 1)."""
@@ -43,7 +41,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = raw.lower().split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     m, k = max(1, len(words)), max(1, len(lines))
-    buckets, counts = np.unique(np.fromiter(map(_bucket.__getitem__, words), np.int64, len(words)), return_counts=True)
+    known = held("buckets", lambda: Recent(lambda word: zlib.crc32(word) % BUCKETS))
+    buckets, counts = np.unique(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), return_counts=True)
     weights = np.log1p(counts)
     if len(weights):
         weights /= np.sqrt((weights**2).sum())

@@ -5,13 +5,12 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, column, slices
+from .common import Recent, column, held, slices
 from .pieces import Chunked, special_cutter, splitter
 
 #: Pieces of byte-level BPE, as the public tokenizer files define them (a fixed value).
@@ -100,9 +99,8 @@ class TokenCounter:
         return len(parts) - 1 + sum(sum(self._values(part)) for part in parts)
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return held(("counter", path), lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:

@@ -16,7 +16,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, column, new_path, partitions, slices, staged, texts_of
+from .common import column, held, new_path, partitions, slices, staged, texts_of
 from .pieces import Chunked, special_cutter
 from .token_counts import byte_letters
 
@@ -190,9 +189,8 @@ class LibraryEncoder:
         return b"".join(self._values(text))
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return held(("encoder", path), lambda: LibraryEncoder(path))
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int | None = None, to: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
