@@ -82,7 +82,7 @@ class Merges:
     def beside(self, left: int, right: int) -> bool:
         known = self._beside.get((left, right))
         if known is None:
-            if len(self._beside) > 1_000_000:
+            if len(self._beside) > 250_000:
                 self._beside.clear()
             known = self._beside[left, right] = self._stay_apart(left, right)
         return known
@@ -128,8 +128,8 @@ class ByteBpe:
         size = max(self.merges.tokens) + 1
         self._bytes = [self.merges.tokens.get(k) for k in range(size)]
         self._split = splitter(pattern)
-        self._piece = Recent(lambda p: array("I", self.merges.encode(p.encode())).tobytes(), 100_000)
-        self._values = Chunked(lambda chunk: b"".join(map(self._piece.__getitem__, self._split(chunk))))
+        self._piece = Recent(lambda p: array("I", self.merges.encode(p.encode())).tobytes(), 20_000)
+        self._values = Chunked(lambda chunk: b"".join(map(self._piece.__getitem__, self._split(chunk))), 200_000)
 
     def encode(self, text: str) -> bytes:
         return b"".join(self._values(text))

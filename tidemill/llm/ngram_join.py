@@ -25,7 +25,7 @@ WORDS = 3
 PERCENT = 90
 #: Shingles that a fragment holds, about, at most, and a batch of documents when they are counted.
 FRAGMENT_TOKENS = 2_000_000
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 500_000
 BATCH_DOCS = 16_384
 #: Fragments in which the overlaps of candidate pairs are counted.
 PAIR_FRAGMENTS = 8
@@ -35,7 +35,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    known = held("words", lambda: Recent(xxhash.xxh3_64_intdigest, 300_000))
+    known = held("words", lambda: Recent(xxhash.xxh3_64_intdigest, 200_000))
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

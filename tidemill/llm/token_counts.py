@@ -85,7 +85,7 @@ class TokenCounter:
         self._letters = byte_letters()
         self._split = splitter(pattern)
         self._cut = special_cutter([t["content"] for t in spec["added_tokens"]])
-        self._piece = Recent(self._count_piece, 100_000)
+        self._piece = Recent(self._count_piece, 20_000)
         self._values = Chunked(self._count_chunk)
 
     def _count_piece(self, piece: str) -> int:
