@@ -145,6 +145,20 @@ def test_near_passages_are_recalled(spark):
     assert all(r.sources == [r.doc_id - 1] for r in got)
 
 
+def test_passages_are_found_across_other_borders(spark):
+    rng = random.Random(11)
+    passages_of = [[f"b{k}x{rng.randrange(10**6)}" for _ in range(60)] for k in range(4)]
+    plain = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    first = [". ".join(" ".join(p[i : i + 10]) for i in range(0, 60, 10)) for p in passages_of]
+    rows = [(k, " ".join(plain("a", 15)) + ". " + t + ". " + " ".join(plain("a", 15))) for k, t in enumerate(first)]
+    shapes = [" ".join, lambda p: "\n".join(" ".join(p[i : i + 7]) for i in range(0, 60, 7)), lambda p: ", ".join(p), lambda p: "; ".join(" ".join(p[i : i + 13]) for i in range(0, 60, 13))]
+    rows += [(10 + k, " ".join(plain("c", 20)) + " " + shape(p) + " " + " ".join(plain("c", 20))) for k, (shape, p) in enumerate(zip(shapes, passages_of, strict=True))]
+    got = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.first_word, r.n_words, tuple(r.sources)) for r in got) == [(10 + k, 20, 60, (k,)) for k in range(4)]
+    texts = dict(rows)
+    assert all(words_of(texts[r.doc_id][r.start : r.stop]) == [w.encode() for w in passages_of[r.doc_id - 10]] for r in got)
+
+
 def test_bands_find_similar_sets():
     s, b, r = 0.8, passages.BANDS, passages.ROWS
     assert 1 - (1 - s**r) ** b > 0.99

@@ -1,0 +1,174 @@
+"""Words that stand in an earlier document too, wherever its lines and sentences end.
+
+Runs of five words are counted over the whole corpus, fragment by fragment of their hashes: each
+learns the smallest doc_id that has it. Words inside runs that an earlier document has are covered.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from .common import column, slices
+from .decontaminate import words_of
+from .ngram_join import hashes_of, shingle_hashes
+from .vertical import table_bytes
+
+#: Words of a shingle.
+WORDS = 5
+BATCH_WORDS = 500_000
+BATCH_DOCS = 16_384
+
+_MARKS = re.compile("[。！？]")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F。！？]+")
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def units_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case; the marks that end sentences are in none."""
+    if text and not text.isascii():
+        text = _MARKS.sub(" ", text)
+    return words_of(text)
+
+
+def unit_places(text: str) -> np.ndarray:
+    """The character where each of ``units_of`` begins."""
+    return np.array([m.start() for m in _WORD.finditer(text)], np.int64)
+
+
+def shingles_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes at each word of texts laid end to end, and where they are whole. Each text
+    has ``WORDS`` words at least."""
+    whole = np.ones(len(hashes), bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, WORDS):
+        whole[ends - k] = False
+    padded = np.concatenate([hashes, np.zeros(WORDS - 1, np.uint64)])
+    return shingle_hashes(padded, WORDS)[: len(hashes)], whole
+
+
+def covered_spans(starts: np.ndarray, rows: np.ndarray, passage_words: int) -> list[tuple[int, int]]:
+    """The spans [first, last) of words, given the sorted words at which shared shingles start and
+    the row of each: all stretches of covered words, ``passage_words`` long."""
+    if not len(starts):
+        return []
+    new = np.ones(len(starts), bool)
+    new[1:] = (np.diff(starts) > WORDS) | (np.diff(rows) > 0)
+    at = np.flatnonzero(new)
+    a, b = starts[at], starts[np.append(at[1:], len(starts)) - 1] + WORDS
+    return [(int(x), int(y)) for x, y in zip(a, b, strict=True) if y - x >= passage_words]
+
+
+def covered(docs: DataFrame, fragments: int, passage_words: int) -> DataFrame:
+    """doc_id, text_hash, spans of the rows of ``docs`` that have repeated passages.
+
+    ``spans`` holds (first word, words, doc_ids that come first with one of its shingles). A
+    fragment gets each shingle once a batch, however many rows have it, with the smallest doc_id of
+    the batch, and answers with the smallest of all where that is another.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held, number, total = [], [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            batch = (TaskContext.get().partitionId() << 32) | number
+            sizes = np.array([len(x) for x in held], np.int64)
+            found, whole = shingles_of(np.concatenate(held), sizes)
+            keys = found[whole]
+            table, rank = np.unique(np.array(ids, np.int64), return_inverse=True)
+            rank = np.repeat(rank, sizes - WORDS + 1)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            at = np.flatnonzero(first)
+            least = np.minimum.reduceat(rank[order], at).astype("<u2")
+            keys = keys[at]
+            spread = (keys >> np.uint64(32)) * np.uint64(fragments)
+            edges = np.searchsorted(spread >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64))
+            low, middle = (keys & _LOW).astype("<u4"), ((spread & _LOW) >> np.uint64(24)).astype("u1")
+            meta = pa.RecordBatch.from_pydict({"x": pa.array([np.array(ids, "<i8").tobytes(), np.array(texts, "<i8").tobytes(), sizes.astype("<i8").tobytes(), order.astype("<u4").tobytes(), np.packbits(first).tobytes()], pa.binary())})
+            rows = [(-1 - batch, table_bytes(meta), b"", b"", b"")]
+            for f in np.flatnonzero(np.diff(edges)):
+                here = slice(edges[f], edges[f + 1])
+                used, mine = np.unique(least[here], return_inverse=True)
+                rows.append((int(f), low[here].tobytes(), middle[here].tobytes(), mine.astype("<u2").tobytes(), table[used].astype("<i8").tobytes()))
+            to, *parts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([batch] * len(to), pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=["fragment", "batch", "low", "middle", "rank", "ids"])
+
+        for batch in slices(batches):
+            for doc_id, text_hash, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
+                words = units_of(text)
+                if len(words) < WORDS:
+                    continue
+                if ids and (total + len(words) > BATCH_WORDS or len(ids) == BATCH_DOCS):
+                    yield flush()
+                    ids, texts, held, number, total = [], [], [], number + 1, 0
+                ids.append(doc_id)
+                texts.append(text_hash)
+                held.append(hashes_of(words))
+                total += len(words)
+        if ids:
+            yield flush()
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        batches, fragment = rows.column("batch"), rows.column("fragment")
+        if key[0].as_py() < 0:
+            empty = pa.nulls(len(batches), pa.binary())
+            return pa.table({"batch": batches, "fragment": fragment, "n": pa.array([0] * len(batches), pa.int32()), "mask": rows.column("low"), "keepers": empty})
+        keys, own = [], []
+        for low, middle, rank, ids in zip(*(rows.column(c).to_pylist() for c in ("low", "middle", "rank", "ids")), strict=True):
+            keys.append(np.frombuffer(low, "<u4").astype(np.uint64) | (np.frombuffer(middle, "u1").astype(np.uint64) << np.uint64(32)))
+            own.append(np.frombuffer(ids, "<i8")[np.frombuffer(rank, "<u2")])
+        sizes = [len(k) for k in keys]
+        keys, own = np.concatenate(keys), np.concatenate(own)
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        first = np.ones(len(ranked), bool)
+        first[1:] = ranked[1:] != ranked[:-1]
+        at = np.flatnonzero(first)
+        keeper = np.empty(len(keys), np.int64)
+        keeper[order] = np.repeat(np.minimum.reduceat(own[order], at), np.diff(np.append(at, len(ranked))))
+        other = keeper < own
+        masks, keepers, begin = [], [], 0
+        for n in sizes:
+            mine = other[begin : begin + n]
+            masks.append(np.packbits(mine).tobytes())
+            keepers.append(keeper[begin : begin + n][mine].astype("<i8").tobytes())
+            begin += n
+        return pa.table({"batch": batches, "fragment": fragment, "n": pa.array(sizes, pa.int32()), "mask": pa.array(masks, pa.binary()), "keepers": pa.array(keepers, pa.binary())})
+
+    def gather(key: tuple, rows: pa.Table) -> pa.Table:
+        answers = sorted(zip(*(rows.column(c).to_pylist() for c in ("fragment", "n", "mask", "keepers")), strict=True), key=lambda r: r[0])
+        meta = pa.ipc.open_stream(answers[0][2]).read_all().column("x").to_pylist()
+        ids, texts, sizes = (np.frombuffer(x, "<i8") for x in meta[:3])
+        order = np.frombuffer(meta[3], "<u4")
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(meta[4], "u1"), count=len(order)))
+        row = np.repeat(np.arange(len(ids)), sizes - WORDS + 1)
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+        keeper = np.minimum.reduceat(ids[row][order], at)
+        mask = np.concatenate([np.unpackbits(np.frombuffer(m, "u1"), count=n) for _, n, m, _ in answers[1:]]).astype(bool)
+        keeper[mask] = np.concatenate([np.frombuffer(k, "<i8") for *_, k in answers[1:]])
+        kept = keeper[entry]
+        shared = np.flatnonzero(kept < ids[row])
+        place = shared + (WORDS - 1) * row[shared]
+        begins = np.cumsum(sizes) - sizes
+        out: dict[int, list] = {}
+        for first, last in covered_spans(place, row[shared], passage_words):
+            mine = shared[slice(*np.searchsorted(place, [first, last - WORDS + 1]))]
+            if len(np.unique(entry[mine])) > WORDS:
+                r = int(row[mine[0]])
+                out.setdefault(r, []).append({"first_word": first - int(begins[r]), "n_words": last - first, "sources": np.unique(kept[mine]).tolist()})
+        kind = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("sources", pa.list_(pa.int64()))]))
+        of = list(out)
+        return pa.table({"doc_id": pa.array(ids[of], pa.int64()), "text_hash": pa.array(texts[of], pa.int64()), "spans": pa.array(list(out.values()), kind)})
+
+    sent = docs.mapInArrow(send, "fragment long, batch long, low binary, middle binary, rank binary, ids binary")
+    counted = sent.groupBy("fragment").applyInArrow(count, "batch long, fragment long, n int, mask binary, keepers binary")
+    return counted.groupBy("batch").applyInArrow(gather, "doc_id long, text_hash long, spans array<struct<first_word:int,n_words:int,sources:array<long>>>")
