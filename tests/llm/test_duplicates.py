@@ -3,11 +3,12 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemill.llm import components, ngram_join, passages
+from tidemill.llm import components, ngram_join, passages, word_runs
 from tidemill.llm.decontaminate import words_of
 
 
@@ -159,6 +160,51 @@ def test_passages_are_found_across_other_borders(spark):
     assert all(words_of(texts[r.doc_id][r.start : r.stop]) == [w.encode() for w in passages_of[r.doc_id - 10]] for r in got)
 
 
+def test_passages_with_a_replaced_word_are_found_whole(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(40):
+        passage = sentences(rng, 5, f"q{k}x")
+        words = " ".join(passage).split()
+        at = rng.randrange(6, len(words) - 6)
+        other = [*words[:at], "replaced" + "." * words[at].endswith("."), *words[at + 1 :]]
+        rows += [(2 * k, " ".join(passage)), (2 * k + 1, " ".join(sentences(rng, 3, "r")) + " " + " ".join(other) + " " + " ".join(sentences(rng, 3, "s")))]
+        want[2 * k + 1] = (len(words), (2 * k,))
+    got = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, (r.n_words, tuple(r.sources))) for r in got) == sorted(want.items())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_covered_spans_equal_brute_force(seed):
+    rng, k, percent, least = random.Random(seed), word_runs.WORDS, 80, 30
+    starts, rows, at = [], [], 0
+    for row in range(30):
+        for _ in range(rng.randrange(12)):
+            at += rng.randrange(1, 18)
+            n = rng.choice([1, 2, 8, 30, 90])
+            starts += range(at, at + n)
+            rows += [row] * n
+            at += n
+        at += k
+    want = set()
+    for row in set(rows):
+        mine = {w + x for w, r in zip(starts, rows, strict=True) if r == row for x in range(k)}
+        pieces = []
+        for w in sorted(mine):
+            if pieces and pieces[-1][1] == w:
+                pieces[-1][1] = w + 1
+            else:
+                pieces.append([w, w + 1])
+        for i in range(len(pieces)):
+            for j in range(i, len(pieces)):
+                gaps = [pieces[x + 1][0] - pieces[x][1] for x in range(i, j)]
+                credit = sum(min(b - a, word_runs.CREDIT) for a, b in pieces[i : j + 1])
+                if max(gaps, default=0) <= word_runs.GAP and 100 * credit >= percent * (credit + sum(gaps)) and pieces[j][1] - pieces[i][0] >= least:
+                    want |= set(range(pieces[i][0], pieces[j][1]))
+    got = word_runs.covered_spans(np.array(starts), np.array(rows), least, percent)
+    assert {w for a, b in got for w in range(a, b)} == want and want
+
+
 def test_bands_find_similar_sets():
     s, b, r = 0.8, passages.BANDS, passages.ROWS
     assert 1 - (1 - s**r) ** b > 0.99

@@ -21,6 +21,9 @@ from .vertical import table_bytes
 
 #: Words of a shingle.
 WORDS = 5
+#: Words between covered ones in a passage, at most, and words of a covered piece that count.
+GAP = 10
+CREDIT = 50
 BATCH_WORDS = 500_000
 BATCH_DOCS = 16_384
 
@@ -52,19 +55,43 @@ def shingles_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return shingle_hashes(padded, WORDS)[: len(hashes)], whole
 
 
-def covered_spans(starts: np.ndarray, rows: np.ndarray, passage_words: int) -> list[tuple[int, int]]:
+def covered_spans(starts: np.ndarray, rows: np.ndarray, passage_words: int, percent: int) -> list[tuple[int, int]]:
     """The spans [first, last) of words, given the sorted words at which shared shingles start and
-    the row of each: all stretches of covered words, ``passage_words`` long."""
+    the row of each.
+
+    Spans are all stretches from a covered piece to another, ``passage_words`` long, that are covered
+    to ``percent`` with no more than ``GAP`` other words in a row; overlapping ones are joined. Of a
+    piece ``CREDIT`` words count, so that a long one doesn't pay for gaps far from it.
+    """
     if not len(starts):
         return []
     new = np.ones(len(starts), bool)
     new[1:] = (np.diff(starts) > WORDS) | (np.diff(rows) > 0)
     at = np.flatnonzero(new)
-    a, b = starts[at], starts[np.append(at[1:], len(starts)) - 1] + WORDS
-    return [(int(x), int(y)) for x, y in zip(a, b, strict=True) if y - x >= passage_words]
-
-
-def covered(docs: DataFrame, fragments: int, passage_words: int) -> DataFrame:
+    begins, ends, of = starts[at], starts[np.append(at[1:], len(starts)) - 1] + WORDS, rows[at]
+    gaps = np.append(0, begins[1:] - ends[:-1])
+    chains = np.flatnonzero(np.append(True, (gaps[1:] > GAP) | (np.diff(of) > 0)))
+    stops = np.append(chains[1:], len(at))
+    out: list[tuple[int, int]] = []
+    for k in np.flatnonzero(ends[stops - 1] - begins[chains] >= passage_words):
+        a, b = begins[chains[k] : stops[k]], ends[chains[k] : stops[k]]
+        gain = (100 - percent) * np.minimum(b - a, CREDIT)
+        loss = percent * gaps[chains[k] : stops[k]]
+        loss[0] = 0
+        upto = np.cumsum(gain - loss)
+        best = np.maximum.accumulate(upto[::-1])[::-1]
+        reach = len(a) - 1 - np.searchsorted(best[::-1], upto - gain)
+        first = len(out)
+        for i in np.flatnonzero(b[reach] - a >= passage_words):
+            span = (int(a[i]), int(b[reach[i]]))
+            if len(out) > first and span[0] < out[-1][1]:
+                out[-1] = (out[-1][0], max(span[1], out[-1][1]))
+            else:
+                out.append(span)
+    return out
+
+
+def covered(docs: DataFrame, fragments: int, passage_words: int, percent: int) -> DataFrame:
     """doc_id, text_hash, spans of the rows of ``docs`` that have repeated passages.
 
     ``spans`` holds (first word, words, doc_ids that come first with one of its shingles). A
@@ -160,7 +187,7 @@ def covered(docs: DataFrame, fragments: int, passage_words: int) -> DataFrame:
         place = shared + (WORDS - 1) * row[shared]
         begins = np.cumsum(sizes) - sizes
         out: dict[int, list] = {}
-        for first, last in covered_spans(place, row[shared], passage_words):
+        for first, last in covered_spans(place, row[shared], passage_words, percent):
             mine = shared[slice(*np.searchsorted(place, [first, last - WORDS + 1]))]
             if len(np.unique(entry[mine])) > WORDS:
                 r = int(row[mine[0]])
