@@ -205,6 +205,25 @@ def test_covered_spans_equal_brute_force(seed):
     assert {w for a, b in got for w in range(a, b)} == want and want
 
 
+def test_passages_of_short_lines_and_of_scripts_without_spaces(spark):
+    rng = random.Random(13)
+    lines = "\n".join(" ".join(f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 5))) for _ in range(25))
+    han = "。".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(9)) for _ in range(6)) + "。"
+    other = han.replace("。", "，")
+    rows = [(1, lines), (2, "Start. " + lines + "\nend"), (3, lines), (4, han), (5, "前文" + other), (6, "menu " * 3)]
+    got = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = len(words_of(lines))
+    assert sorted((r.doc_id, r.first_word, r.n_words, tuple(r.sources)) for r in got) == [(2, 1, n, (1,)), (3, 0, n, (1,)), (5, 2, 54, (4,))]
+    assert next(r.stop - r.start for r in got if r.doc_id == 5) == len(other)
+
+
+def test_units_have_their_places():
+    for text in ["", "Ab-c d\u2019e", "日本語の文。Next one, naïve\u00a0é！三", "\ud800x ไทย1ก"]:
+        at = word_runs.unit_places(text).tolist()
+        units = [u.decode("utf-8", "surrogatepass") for u in word_runs.units_of(text)]
+        assert len(at) == len(units) and all(text[k:].lower().startswith(u) for k, u in zip(at, units, strict=True))
+
+
 def test_bands_find_similar_sets():
     s, b, r = 0.8, passages.BANDS, passages.ROWS
     assert 1 - (1 - s**r) ** b > 0.99

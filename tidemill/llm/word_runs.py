@@ -27,15 +27,20 @@ CREDIT = 50
 BATCH_WORDS = 500_000
 BATCH_DOCS = 16_384
 
-_MARKS = re.compile("[。！？]")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F。！？]+")
+#: Characters of scripts without spaces (Thai to Khmer, kana, Han), and marks beyond ASCII (fixed values).
+_APART = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_OUTER = "\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_MARKS = re.compile(f"[{_OUTER}]")
+_SINGLE = re.compile(f"[{_APART}]")
+_WORD = re.compile(rf"[{_APART}]|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F{_OUTER}{_APART}]+")
 _LOW = np.uint64(0xFFFFFFFF)
 
 
 def units_of(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z in lower case; the marks that end sentences are in none."""
+    """The words of a text, A-Z in lower case; in scripts without spaces each character is one, and
+    marks are in none."""
     if text and not text.isascii():
-        text = _MARKS.sub(" ", text)
+        text = _SINGLE.sub(r" \g<0> ", _MARKS.sub(" ", text))
     return words_of(text)
 
 
