@@ -100,8 +100,8 @@ def covered(docs: DataFrame, fragments: int, passage_words: int, percent: int) -
     """doc_id, text_hash, spans of the rows of ``docs`` that have repeated passages.
 
     ``spans`` holds (first word, words, doc_ids that come first with one of its shingles). A
-    fragment gets each shingle once a batch, however many rows have it, with the smallest doc_id of
-    the batch, and answers with the smallest of all where that is another.
+    fragment gets each shingle once a batch, however many rows have it, in order of the smallest
+    doc_id of the batch that has it, and answers with the smallest of all where that is another.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,19 +119,21 @@ def covered(docs: DataFrame, fragments: int, passage_words: int, percent: int) -
             first = np.ones(len(keys), bool)
             first[1:] = keys[1:] != keys[:-1]
             at = np.flatnonzero(first)
-            least = np.minimum.reduceat(rank[order], at).astype("<u2")
-            keys = keys[at]
+            least, keys = np.minimum.reduceat(rank[order], at), keys[at]
             spread = (keys >> np.uint64(32)) * np.uint64(fragments)
+            turn = np.lexsort((least, spread >> np.uint64(32)))
+            least, keys, spread = least[turn], keys[turn], spread[turn]
             edges = np.searchsorted(spread >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64))
             low, middle = (keys & _LOW).astype("<u4"), ((spread & _LOW) >> np.uint64(24)).astype("u1")
-            meta = pa.RecordBatch.from_pydict({"x": pa.array([np.array(ids, "<i8").tobytes(), np.array(texts, "<i8").tobytes(), sizes.astype("<i8").tobytes(), order.astype("<u4").tobytes(), np.packbits(first).tobytes()], pa.binary())})
+            width = 3 if len(order) < 1 << 24 else 4
+            meta = pa.RecordBatch.from_pydict({"x": pa.array([np.array(ids, "<i8").tobytes(), np.array(texts, "<i8").tobytes(), sizes.astype("<i8").tobytes(), order.astype("<u4").view("u1").reshape(-1, 4)[:, :width].tobytes(), np.packbits(first).tobytes()], pa.binary())})
             rows = [(-1 - batch, table_bytes(meta), b"", b"", b"")]
             for f in np.flatnonzero(np.diff(edges)):
                 here = slice(edges[f], edges[f + 1])
-                used, mine = np.unique(least[here], return_inverse=True)
-                rows.append((int(f), low[here].tobytes(), middle[here].tobytes(), mine.astype("<u2").tobytes(), table[used].astype("<i8").tobytes()))
+                used, times = np.unique(least[here], return_counts=True)
+                rows.append((int(f), low[here].tobytes(), middle[here].tobytes(), times.astype("<u4").tobytes(), table[used].astype("<i8").tobytes()))
             to, *parts = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([batch] * len(to), pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=["fragment", "batch", "low", "middle", "rank", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([batch] * len(to), pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=["fragment", "batch", "low", "middle", "times", "ids"])
 
         for batch in slices(batches):
             for doc_id, text_hash, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
@@ -154,9 +156,9 @@ def covered(docs: DataFrame, fragments: int, passage_words: int, percent: int) -
             empty = pa.nulls(len(batches), pa.binary())
             return pa.table({"batch": batches, "fragment": fragment, "n": pa.array([0] * len(batches), pa.int32()), "mask": rows.column("low"), "keepers": empty})
         keys, own = [], []
-        for low, middle, rank, ids in zip(*(rows.column(c).to_pylist() for c in ("low", "middle", "rank", "ids")), strict=True):
+        for low, middle, times, ids in zip(*(rows.column(c).to_pylist() for c in ("low", "middle", "times", "ids")), strict=True):
             keys.append(np.frombuffer(low, "<u4").astype(np.uint64) | (np.frombuffer(middle, "u1").astype(np.uint64) << np.uint64(32)))
-            own.append(np.frombuffer(ids, "<i8")[np.frombuffer(rank, "<u2")])
+            own.append(np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(times, "<u4")))
         sizes = [len(k) for k in keys]
         keys, own = np.concatenate(keys), np.concatenate(own)
         order = np.argsort(keys, kind="stable")
@@ -179,14 +181,18 @@ def covered(docs: DataFrame, fragments: int, passage_words: int, percent: int) -
         answers = sorted(zip(*(rows.column(c).to_pylist() for c in ("fragment", "n", "mask", "keepers")), strict=True), key=lambda r: r[0])
         meta = pa.ipc.open_stream(answers[0][2]).read_all().column("x").to_pylist()
         ids, texts, sizes = (np.frombuffer(x, "<i8") for x in meta[:3])
-        order = np.frombuffer(meta[3], "<u4")
+        n_keys = int((sizes - WORDS + 1).sum())
+        wide = np.zeros((n_keys, 4), "u1")
+        wide[:, : len(meta[3]) // n_keys] = np.frombuffer(meta[3], "u1").reshape(n_keys, -1)
+        order = wide.view("<u4").reshape(-1)
         at = np.flatnonzero(np.unpackbits(np.frombuffer(meta[4], "u1"), count=len(order)))
         row = np.repeat(np.arange(len(ids)), sizes - WORDS + 1)
         entry = np.empty(len(order), np.int64)
         entry[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         keeper = np.minimum.reduceat(ids[row][order], at)
         mask = np.concatenate([np.unpackbits(np.frombuffer(m, "u1"), count=n) for _, n, m, _ in answers[1:]]).astype(bool)
-        keeper[mask] = np.concatenate([np.frombuffer(k, "<i8") for *_, k in answers[1:]])
+        turn = np.lexsort((keeper, np.repeat(np.arange(len(answers) - 1), [n for _, n, *_ in answers[1:]])))
+        keeper[turn[mask]] = np.concatenate([np.frombuffer(k, "<i8") for *_, k in answers[1:]])
         kept = keeper[entry]
         shared = np.flatnonzero(kept < ids[row])
         place = shared + (WORDS - 1) * row[shared]
@@ -201,6 +207,6 @@ def covered(docs: DataFrame, fragments: int, passage_words: int, percent: int) -
         of = list(out)
         return pa.table({"doc_id": pa.array(ids[of], pa.int64()), "text_hash": pa.array(texts[of], pa.int64()), "spans": pa.array(list(out.values()), kind)})
 
-    sent = docs.mapInArrow(send, "fragment long, batch long, low binary, middle binary, rank binary, ids binary")
+    sent = docs.mapInArrow(send, "fragment long, batch long, low binary, middle binary, times binary, ids binary")
     counted = sent.groupBy("fragment").applyInArrow(count, "batch long, fragment long, n int, mask binary, keepers binary")
     return counted.groupBy("batch").applyInArrow(gather, "doc_id long, text_hash long, spans array<struct<first_word:int,n_words:int,sources:array<long>>>")
