@@ -66,6 +66,17 @@ def test_windowed_backfill_over_a_gap(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ids
 
 
+def test_a_backlog_beyond_the_passes_is_told(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(i, float(i)) for i in range(1, 51)], "id long, v double").write.parquet(path)
+    made = from_dict(project(path, out, mode="incremental", cursor="id", cursor_type="bigint", initial="0", max_window="10", until="50"))
+    make = lambda: Run(spark, made, State(str(tmp_path / "state.json")))
+    with pytest.raises(RuntimeError, match="not caught up after 2 runs"):
+        until_caught_up(make, passes=2)
+    until_caught_up(make)
+    assert spark.read.parquet(out).count() == 50
+
+
 def test_watermark_is_held_when_an_output_fails(spark, tmp_path):
     path = str(tmp_path / "in")
     spark.createDataFrame([(1, 1.0), (None, 2.0)], "id long, v double").write.parquet(path)

@@ -274,7 +274,10 @@ def _above(rendered: dict[str, Rendered], name: str) -> set[str]:
 
 
 def until_caught_up(make: Callable[[], Run], passes: int = 100) -> int:
-    """Run again and again until no watermark moves; returns the number of runs."""
+    """Run again and again until no watermark moves; returns the number of runs.
+
+    Raises RuntimeError if the watermarks still move after ``passes`` runs; what they loaded stays.
+    """
     before = None
     for k in range(passes):
         run = make()
@@ -285,4 +288,4 @@ def until_caught_up(make: Callable[[], Run], passes: int = 100) -> int:
         if after == before:
             return k + 1
         before = after
-    return passes
+    raise RuntimeError(f"not caught up after {passes} runs; watermarks: {before}")
