@@ -221,6 +221,11 @@ def test_long_words_are_compared_in_pieces(monkeypatch):
     assert not passages.alike(a[:200], rng.permutation(a[:200]), 80)
 
 
+def test_moved_halves_are_found_apart():
+    a = np.random.default_rng(4).integers(0, 1 << 32, 600).astype("<u4")
+    assert sorted(passages.shared_passages(a, np.concatenate([a[305:], a[:305]]), 40, 80)) == [(0, 305, 295, 600), (305, 600, 0, 295)]
+
+
 @pytest.mark.parametrize("share", [0.01, 0.02, 0.05])
 def test_passages_with_changed_words_are_recalled(spark, share):
     rng, rows, found = random.Random(share), [], 0
