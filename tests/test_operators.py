@@ -21,7 +21,7 @@ def test_asof_matches_brute_force(spark, width, strict):
     got = rows(joins.asof_join(spark.createDataFrame(left, "k string, t double"), spark.createDataFrame(right, "k string, u double, v string"), ("t", "u"), ["k"], width, strict))
     want = []
     for k, t in left:
-        found = [r for r in right if r[0] == k and t is not None and r[1] is not None and (r[1] < t if strict else r[1] <= t)]
+        found = [r for r in right if k is not None and r[0] == k and t is not None and r[1] is not None and (r[1] < t if strict else r[1] <= t)]
         best = max(found, key=lambda r: (r[1], r[2])) if found else (None, None, None)
         want.append((k, t, best[1], best[2]))
     assert got == sorted(want, key=str)
@@ -130,3 +130,54 @@ def test_dialect(spark):
         with pytest.raises(MisreadSql):
             check_sql(sql)
     assert check_sql("select 'qualify', `asof join` from t -- union by name")
+
+
+def test_interval_join_of_long_spans_has_few_cells(spark):
+    p = spark.createDataFrame([(k, float(k * 997 % 100_000)) for k in range(300)] + [(999, None)], "i long, at double")
+    s = spark.createDataFrame([(1, 0.0, 100_000.0), (2, 5.0, 6.0), (3, -1e6, 64_000.0), (4, 9.0, 9.0), (5, 99_000.0, 99_064.0), (6, None, 3.0)], "j long, a double, b double")
+    got = {(r.i, r.j) for r in joins.interval_join(p, s, "at", "a", "b", 1.0).collect()}
+    points, spans = p.collect(), s.collect()
+    assert got == {(x.i, y.j) for x in points for y in spans if x.at is not None and y.a is not None and y.a <= x.at < y.b}
+
+
+def test_fingerprint_tells_where_nulls_are(spark):
+    a, b = (schema.fingerprint(spark.createDataFrame([r], "x long, y long")).first() for r in ((None, 1), (1, None)))
+    assert a.n_rows == b.n_rows and a.hash_sum != b.hash_sum
+
+
+def test_drain_in_order_numbers_by_ranges(spark):
+    df = spark.range(1000).selectExpr("nullif(id * 7919 % 1000, 5) as x").repartition(5)
+    drained = schema.in_order(df, 990)
+    assert [r.x for r in drained.collect()] == [*range(991, 1000), None]
+    assert "CollectLimit" not in drained._jdf.queryExecution().toString()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemill import storage
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        storage.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_small_files_are_written_by_paths_of_spark(spark, tmp_path):
+    from tidemill import storage
+
+    path = f"file://{tmp_path}/a/b.json"
+    storage.write_text(spark, path, "x\u00e9")
+    assert storage.read_text(spark, path) == "x\u00e9" == (tmp_path / "a" / "b.json").read_text()
+
+
+def test_ranges_have_literals_that_sql_takes(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    from tidemill.sources import ranges
+
+    for kind, low, high in (("decimal(9,2)", Decimal("1.50"), Decimal("9.00")), ("date", date(2024, 1, 1), date(2024, 3, 1)), ("timestamp_ntz", datetime(2024, 1, 1, 5), datetime(2024, 1, 2))):
+        df = spark.createDataFrame([(low,), (high,), (None,)], f"c {kind}")
+        parts = ranges.split(df, "c", low, high, 4)
+        assert [p.count() for p in parts] == [2, 0, 0, 1]
+    assert len(ranges.equal_width(0, 100, 40, most=64)) == 40

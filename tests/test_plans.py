@@ -81,6 +81,7 @@ def test_watermark_is_held_when_an_output_fails(spark, tmp_path):
     path = str(tmp_path / "in")
     spark.createDataFrame([(1, 1.0), (None, 2.0)], "id long, v double").write.parquet(path)
     d = project(path, str(tmp_path / "out"), mode="incremental", cursor="v", cursor_type="bigint", initial="0")
+    d["pipelines"][1]["checks"] = []
     run = Run(spark, from_dict(d), State(str(tmp_path / "s.json")), events=str(tmp_path / "e.ndjson"))
     results = run.execute()
     assert results["b"].status == "failed" and "no key" in results["b"].message
@@ -185,3 +186,81 @@ def test_retry_takes_over_what_was_done(spark, tmp_path):
     d["pipelines"][0]["sql"] += " where id > 0"
     third = Run(spark, from_dict(d), State(str(tmp_path / "s.json")), folder=str(tmp_path / "runs"), retry_of=second.save())
     assert third.execute()["a"].status == "done" and spark.read.parquet(out + "2").count() == 3
+
+
+def test_watermarks_in_sql_guard_nulls(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    d = project(path, out, cursor="id", cursor_type="bigint")
+    d["pipelines"][0]["sql"] = "select * from {{ source('c', 'events') }} e where {{ watermark('c', 'events') }} < e.id and v >= 0"
+    d["pipelines"][1]["outputs"] = [{"name": "o", "path": out, "mode": "append"}]
+    with pytest.raises(ProjectError, match="repeat rows"):
+        validate(from_dict(d))
+    d["pipelines"][1]["outputs"][0]["accept_duplicates"] = True
+    for ids in ([1, 2, 3], [4], []):
+        spark.createDataFrame([(i, float(i)) for i in ids], "id long, v double").write.mode("append").parquet(path)
+        run = Run(spark, from_dict(d), State(str(tmp_path / "s.json")))
+        assert {r.status for r in run.execute().values()} == {"done"}
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4] and run.mark(run.project.sources[0]) == "4"
+    del d["sources"][0]["cursor"]
+    with pytest.raises(ProjectError, match="needs a cursor"):
+        validate(from_dict(d))
+
+
+def test_a_retry_never_passes_rows_that_a_reader_did_not_get(spark, tmp_path):
+    path, outs, switch = str(tmp_path / "in"), [str(tmp_path / n) for n in "ab"], tmp_path / "late"
+    d = project(path, outs[0], mode="incremental", cursor="id", cursor_type="bigint", initial="0")
+    sql = ["select id, v from {{ source('c', 'events') }}", "select id, v from {{ source('c', 'events') }} where id not in (select id from parquet.`%s`)" % switch]
+    d["pipelines"] = [{"name": n, "sql": q, "outputs": [{"name": n, "path": o, "mode": "append", "accept_duplicates": True}]} for n, q, o in zip("ab", sql, outs, strict=True)]
+    spark.createDataFrame([(1, 1.0), (2, 2.0)], "id long, v double").write.parquet(path)
+    make = lambda **more: Run(spark, from_dict(d), State(str(tmp_path / "s.json")), folder=str(tmp_path / "runs"), **more)
+    first = make()
+    assert {n: r.status for n, r in first.execute().items()} == {"a": "done", "b": "failed"}
+    spark.createDataFrame([(3, 3.0)], "id long, v double").write.mode("append").parquet(path)
+    spark.createDataFrame([(-1,)], "id long").write.parquet(str(switch))
+    saved = first.save()
+    second = make(retry_of=saved)
+    assert {n: r.status for n, r in second.execute().items()} == {"a": "reused", "b": "done"} and second.mark(second.project.sources[0]) == "2"
+    make().execute()
+    assert all(sorted(r.id for r in spark.read.parquet(o).collect()) == [1, 2, 3] for o in outs)
+    kept = json.loads((tmp_path / "runs" / first.id / "results.json").read_text())
+    kept["sources"] = {}
+    (tmp_path / "lost.json").write_text(json.dumps(kept))
+    spark.createDataFrame([(4, 4.0)], "id long, v double").write.mode("append").parquet(path)
+    third = make(retry_of=str(tmp_path / "lost.json"))
+    assert third.execute()["a"].status == "reused" and third.mark(third.project.sources[0]) == "3"
+
+
+def test_broken_checks_fail_unless_they_warn(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, 1.0), (1, 2.0)], "id long, v double").write.parquet(path)
+    d = project(path, out)
+    d["pipelines"][1] = {"name": "b", "sql": "select id, v from {{ ref('a') }}", "outputs": [{"name": "o", "path": out}], "checks": [{"type": "unique", "columns": ["id"]}, {"type": "row_count", "min": 100}]}
+    events = tmp_path / "e.ndjson"
+    got = Run(spark, from_dict(d), State(str(tmp_path / "s.json")), events=str(events)).execute()["b"]
+    assert got.status == "failed" and got.violations == {"0:unique": 1, "1:row_count": 1}
+    told = [json.loads(x) for x in events.read_text().splitlines()]
+    assert [e["samples"] for e in told if e["event"] == "check_failed"] == [{"0:unique": [{"id": 1, "n_rows": 2}]}]
+    for c in d["pipelines"][1]["checks"]:
+        c["severity"] = "warn"
+    got = Run(spark, from_dict(d), State(str(tmp_path / "s.json"))).execute()["b"]
+    assert got.status == "done" and got.violations == {"0:unique": 1, "1:row_count": 1} and spark.read.parquet(out).count() == 2
+
+
+def test_a_changed_output_is_another_node(spark):
+    a, b = (Run(spark, from_dict(project("p", out)), State("/nowhere")).nodes for out in ("o", "q"))
+    assert a["a"] == b["a"] and a["b"] != b["b"]
+
+
+def test_text_outputs_are_read_back_with_their_types(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([(1, 1.5)], "id long, v double").write.parquet(path)
+    for kind, options in (("csv", {"delimiter": ";"}), ("tsv", {}), ("json", {}), ("xml", {"row": "r"})):
+        out = str(tmp_path / kind)
+        d = project(path, out)
+        d["pipelines"][1]["outputs"] = [{"name": "o", "path": out, "format": kind, "mode": "merge", "keys": ["id"], "options": options}]
+        for _ in range(2):
+            got = Run(spark, from_dict(d), State(str(tmp_path / "s.json"))).execute()["b"]
+            assert got.status == "done", got.message
+        from tidemill.sources.files import read_files
+
+        assert [(r.id, r.v) for r in read_files(spark, kind, out, {"id": "bigint", "v": "double"}, **options).collect()] == [(1, 1.5)]

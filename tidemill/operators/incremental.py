@@ -26,10 +26,14 @@ class Slice:
         return out
 
 
-def read_slice(df: DataFrame, cursor: str, part: Slice) -> DataFrame:
+def read_slice(df: DataFrame, cursor: str, part: Slice, keep_null: bool = False) -> DataFrame:
     """The rows of a slice, as a source delivers them: rows without a cursor are left out as soon
-    as the slice is bounded. A plain filter, so it reaches the Parquet or JDBC scan."""
-    return df.where(part.holds(F.col(cursor))) if part != Slice() else df
+    as the slice is bounded, unless they are to be kept. A plain filter, so it reaches the Parquet
+    or JDBC scan."""
+    if part == Slice():
+        return df
+    inside = part.holds(F.col(cursor))
+    return df.where(inside | F.col(cursor).isNull() if keep_null else inside)
 
 
 def trim(df: DataFrame, cursor: str, part: Slice) -> DataFrame:

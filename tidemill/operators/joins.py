@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..storage import fresh, staged
 
 
+#: Cells of one grid that a span may meet, about, before a coarser one takes it.
+CELLS = 64
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[str], width: float | None = None, strict: bool = False) -> DataFrame:
     """Each row of ``left`` with the last row of ``right`` of the same ``by`` whose time is not later.
 
     ``on`` names the time columns of both sides; with ``strict`` the time must be earlier. Rows of
-    ``left`` without a match keep nulls; null times match nothing. Of right rows of one time the
+    ``left`` without a match keep nulls; null times and nulls in ``by`` match nothing. Of right rows of one time the
     greatest by its other columns counts. The right side's columns other than ``by`` are
     added; they must not clash with the left side's.
 
@@ -25,7 +29,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
     side, at, payload, kept, row, slot, last = fresh(left, "side", "at", "payload", "kept", "row", "slot", "last")
     extra = [c for c in right.columns if c not in by]
     l_rows = left.select(*by, F.col(l_time).alias(at), F.struct(*left.columns).alias(row), F.lit(None).cast(right.select(F.struct(*extra)).schema[0].dataType).alias(payload), F.lit(0 if strict else 1).alias(side))
-    r_rows = right.where(F.col(r_time).isNotNull()).select(*by, F.col(r_time).alias(at), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias(row), F.struct(*extra).alias(payload), F.lit(1 if strict else 0).alias(side))
+    r_rows = right.dropna(subset=[*by, r_time]).select(*by, F.col(r_time).alias(at), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias(row), F.struct(*extra).alias(payload), F.lit(1 if strict else 0).alias(side))
     line = l_rows.unionByName(r_rows)
     order = [F.col(at).asc_nulls_first(), F.col(side), F.col(payload)]
     if width is None:
@@ -45,7 +49,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
     return both.select(f"{row}.*", *[F.col(f"{kept}.{c}").alias(c) for c in extra])
 
 
-def numbered(df: DataFrame, order: list[str], number: str = "row_number") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], number: str = "row_number") -> DataFrame:
     """``df`` with 1, 2, 3 ... in the order of ``order``, without bringing the rows together.
 
     Rows are sorted by ranges and written once; each range's numbers follow the count of rows in
@@ -73,18 +77,23 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], ri
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, stop: str, width: float, by: list[str] | None = None) -> DataFrame:
     """Pairs of a point and a span with ``start`` <= ``at`` < ``stop``, by an equi-join on cells.
 
-    The line is cut into cells of ``width``; a span is repeated for each cell that it meets, a
-    point has one. So Spark can hash and split the join, where a range condition alone would be
-    a nested loop. Nulls match nothing.
+    The line is cut into cells of ``width``; a span is repeated for each cell that it meets. A span
+    of more than ``CELLS`` cells goes to the next coarser grid, of cells ``CELLS`` times as wide, and so
+    on; a point has one cell in each grid that is used. So Spark can hash and split the join,
+    where a range condition alone would be a nested loop. Nulls match nothing.
     """
-    cell, = fresh(points.join(spans, F.lit(False)), "cell")
+    cell, grid = fresh(points.join(spans, F.lit(False)), "cell", "grid")
 
     def cell_of(c: Column) -> Column:
-        return F.floor(c.cast("double") / width)
-
-    p = points.where(F.col(at).isNotNull()).withColumn(cell, cell_of(F.col(at)))
-    s = spans.where(F.col(start) < F.col(stop)).withColumn(cell, F.explode(F.sequence(cell_of(F.col(start)), cell_of(F.col(stop)))))
-    return p.join(s, [*(by or []), cell]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(stop))).drop(cell)
+        return F.floor(c.cast("double") / (F.lit(float(width)) * F.pow(F.lit(float(CELLS)), F.col(grid))))
+
+    s = spans.where(F.col(start) < F.col(stop))
+    cells = F.greatest((F.col(stop).cast("double") - F.col(start).cast("double")) / width, F.lit(1.0))
+    s = s.withColumn(grid, F.ceil(F.round(F.log(float(CELLS), cells), 9)).cast("int")).withColumn(grid, F.greatest(F.col(grid) - 1, F.lit(0)))
+    most = s.agg(F.max(grid)).first()[0] or 0
+    s = s.withColumn(cell, F.explode(F.sequence(cell_of(F.col(start)), cell_of(F.col(stop)))))
+    p = points.where(F.col(at).isNotNull()).withColumn(grid, F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn(cell, cell_of(F.col(at)))
+    return p.join(s, [*(by or []), grid, cell]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(stop))).drop(cell, grid)
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

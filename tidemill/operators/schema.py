@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import fresh
+from .joins import numbered
+
 #: Largest integer up to which doubles are exact, and the end of 128-bit integers (fixed values).
 EXACT_DOUBLE, HUGE = 2.0**53, 2.0**127
 
@@ -89,8 +92,10 @@ def text_lengths(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """n_rows and a sum of row hashes: equal for equal rows in any order or partitioning."""
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"))
+    """n_rows and a sum of row hashes: equal for equal rows in any order or partitioning. Which values
+    are null is hashed too, since a hash passes over nulls."""
+    row = F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"))
 
 
 def preview(df: DataFrame, rows: int = 20, hidden: list[str] = (), width: int = 200) -> DataFrame:
@@ -100,5 +105,10 @@ def preview(df: DataFrame, rows: int = 20, hidden: list[str] = (), width: int =
 
 
 def in_order(df: DataFrame, offset: int = 0) -> DataFrame:
-    """All rows in the order of all columns, from ``offset`` on: what a resumed sink drains."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]).offset(offset)
+    """All rows in the order of all columns, nulls last, from ``offset`` on: what a resumed sink drains.
+
+    Rows are numbered by ranges and sorted by their number: no task holds more than a range.
+    """
+    number, = fresh(df, "row_number")
+    placed = numbered(df, [F.col(c).asc_nulls_last() for c in df.columns], number)
+    return placed.where(F.col(number) > offset).orderBy(number).drop(number)

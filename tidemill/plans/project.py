@@ -12,7 +12,7 @@ import hashlib
 import json
 import os
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
 from ..functions.dialect import check_sql
@@ -50,6 +50,8 @@ class Source:
 
 @dataclass(frozen=True)
 class Check:
+    """A check; with ``severity: warn`` among its options violations are told and don't fail the node."""
+
     type: str
     columns: tuple[str, ...] = ()
     options: dict = field(default_factory=dict)
@@ -66,6 +68,7 @@ class Output:
     accept_duplicates: bool = False
     schema_policy: str = "fail_on_change"
     partition_by: tuple[str, ...] = ()
+    options: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -129,6 +132,9 @@ def load(folder: str) -> Project:
 
 
 _CALL = re.compile(r"\{\{\s*(.*?)\s*\}\}", re.S)
+_MARK = r"\{\{\s*watermark\([^{}]*\)\s*\}\}"
+_ABOVE = re.compile(rf"((?:[\w.]|`[^`]*`)+(?:\([^()]*\))?)\s*(>=?)\s*({_MARK})", re.S)
+_BELOW = re.compile(rf"({_MARK})\s*(<=?)\s*((?:[\w.]|`[^`]*`)+(?:\([^()]*\))?)", re.S)
 
 
 @dataclass
@@ -142,7 +148,8 @@ class Rendered:
 def render(project: Project, pipeline: Pipeline, marks: dict[tuple[str, str], str] | None = None, run: dict[str, str] | None = None) -> Rendered:
     """The pipeline's SQL with its calls replaced by views and literals, and what it depends on.
 
-    A watermark that isn't known yet is a typed null. Wrong calls are gathered into one error.
+    A watermark that isn't known yet is a typed null; what is compared to lie above it then holds
+    for every row, so the first load takes all. Wrong calls are gathered into one error.
     """
     out, errors = Rendered(""), []
 
@@ -163,7 +170,10 @@ def render(project: Project, pipeline: Pipeline, marks: dict[tuple[str, str], st
                 return f"`{args[0]}`"
             if node.func.id == "watermark":
                 found = project.source(*args)
-                out.watermarks.append(found)
+                if not found.cursor:
+                    raise ProjectError(f"{found.view}: a watermark needs a cursor")
+                if found not in out.watermarks:
+                    out.watermarks.append(found)
                 kind = {"timestamp": "timestamp_ntz", "decimal": "decimal(38,9)"}.get(found.cursor_type, found.cursor_type)
                 value = (marks or {}).get((found.connection, found.entity))
                 return f"cast(null as {kind})" if value is None else f"cast('{value}' as {kind})"
@@ -178,7 +188,9 @@ def render(project: Project, pipeline: Pipeline, marks: dict[tuple[str, str], st
             errors.append(f"{match[1]!r}: {e}")
         return "null"
 
-    out.sql = _CALL.sub(call, pipeline.sql)
+    guarded = _ABOVE.sub(r"(\3 is null or \1 \2 \3)", pipeline.sql)
+    guarded = _BELOW.sub(r"(\1 is null or \1 \2 \3)", guarded)
+    out.sql = _CALL.sub(call, guarded)
     if errors:
         raise ProjectError(f"{pipeline.name}: " + "; ".join(errors))
     check_sql(out.sql)
@@ -228,9 +240,10 @@ def validate(project: Project) -> dict[str, Rendered]:
             errors.append(f"{p.name}: an ephemeral pipeline has no outputs")
         if p.name in rendered:
             reached = sources_of(rendered, p.name)
+            marked = {s.view for r in rendered.values() for s in r.watermarks}
             for o in p.outputs:
                 for s in reached:
-                    errors += delivery_errors(s, o)
+                    errors += delivery_errors(replace(s, mode="incremental") if s.view in marked and s.mode == "full" else s, o)
                 if o.on_delete and len(reached) > 1:
                     errors.append(f"{o.name}: deletes can be routed from a single source only")
     if errors:
@@ -252,6 +265,6 @@ def sources_of(rendered: dict[str, Rendered], name: str) -> list[Source]:
 
 
 def node_id(pipeline: Pipeline, rendered: Rendered, upstream: list[str]) -> str:
-    """A name for what a pipeline computes: the same SQL over the same inputs has the same."""
-    parts = {"sql": " ".join(rendered.sql.split()), "kind": pipeline.materialization, "on": sorted(upstream)}
+    """A name for what a pipeline does: the same SQL, checks and outputs over the same inputs have the same."""
+    parts = asdict(pipeline) | {"sql": " ".join(rendered.sql.split()), "tags": [], "on": sorted(upstream)}
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:16]

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ SHARED: dict[str, str] = {
     "intersect_all": "select c_nationkey as k from customer intersect all select s_nationkey from supplier",
     "except_all": "select c_nationkey as k from customer except all select s_nationkey from supplier",
     # order and limit
-    "order_nulls_last": "select o_orderkey from (select o_orderkey, nullif(o_orderstatus, 'F') as s from orders) t order by s nulls last, o_orderkey limit 50",
+    "order_nulls_last": "select o_orderkey from (select o_orderkey, nullif(o_orderstatus, 'F') as s from orders) t order by s nulls last, o_orderkey",
     "top_k": "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 20",
     "offset_page": "select p_partkey, p_name from part order by p_partkey limit 25 offset 50",
     # scalars
@@ -138,6 +139,14 @@ def join_asof(spark, sf_dir):
     return joins.asof_join(e, o, ("ts", "at"), ["user_id"], width=90 * 86_400).select("event_id", "user_id", "o_orderkey", "o_totalprice")
 
 
+@query("""select e.event_id, o.o_orderkey from (select event_id, ts, case when event_id % 3 > 0 then user_id end as k from events) e
+asof left join (select o_orderkey, o_orderdate, case when o_orderkey % 5 > 0 then o_custkey end as k from orders) o on e.k = o.k and e.ts >= o.o_orderdate""")
+def join_asof_null_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.expr("case when event_id % 3 > 0 then user_id end").alias("k"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("at"), F.expr("case when o_orderkey % 5 > 0 then o_custkey end").alias("k"))
+    return joins.asof_join(e, o, ("ts", "at"), ["k"]).select("event_id", "o_orderkey")
+
+
 @query("""select a.n_name, b.s_name from (select n_name, row_number() over (order by n_nationkey) as k from nation) a
 full join (select s_name, row_number() over (order by s_suppkey desc) as k from supplier) b on a.k = b.k""")
 def join_positional(spark, sf_dir):
@@ -187,9 +196,11 @@ def quantiles(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(dialect.median(F.col("l_quantity")).alias("mid"), F.percentile("l_extendedprice", 0.9).alias("high"))
 
 
-@query(None)
+@query("select l_returnflag, count(distinct l_partkey) as parts, true as near from lineitem group by l_returnflag")
 def approximate_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """The exact number, and whether the sketch is within three standard errors of 0.02."""
+    exact, about = F.count_distinct("l_partkey"), F.approx_count_distinct("l_partkey", 0.02)
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(exact.alias("parts"), (F.abs(about - exact) <= 0.06 * exact).alias("near"))
 
 
 @query("select n_regionkey, unnest(list(n_name order by n_name)) as n_name from nation group by n_regionkey")
@@ -251,6 +262,15 @@ def scan_ranges(spark, sf_dir):
     return out.groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query("""select least(floor((c::double - low) / ((high - low) / 8)), 7)::bigint as part, count(*) as n from (select c_acctbal::decimal(12, 2) as c from customer) t,
+(select min(c_acctbal::decimal(12, 2))::double as low, max(c_acctbal::decimal(12, 2))::double as high from customer) b group by part""")
+def scan_ranges_decimal(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("decimal(12,2)").alias("c"))
+    low, high = c.agg(F.min("c"), F.max("c")).first()
+    part = F.coalesce(*[F.when(F.expr(p), F.lit(k)) for k, p in enumerate(ranges.predicates("c", low, high, 8))])
+    return c.groupBy(part.cast("long").alias("part")).agg(F.count("*").alias("n"))
+
+
 @query("select c_custkey, c_name, c_acctbal from customer")
 def files_csv(spark, sf_dir):
     path = new_path(spark, "csv")
@@ -443,9 +463,9 @@ def preview_rows(spark, sf_dir):
     return schema.preview(table(spark, sf_dir, "nation"), 100, ["n_name"])
 
 
-@query("select * from nation order by all offset 10")
+@query("select * from orders order by all offset 1000")
 def drain_in_order(spark, sf_dir):
-    return schema.in_order(table(spark, sf_dir, "nation"), 10)
+    return schema.in_order(table(spark, sf_dir, "orders"), 1000)
 
 
 @query("select 'o_orderpriority' as column, 'removed' as change union all select 'extra', 'added' union all select 'o_orderkey', 'retyped'")
@@ -509,3 +529,86 @@ def project_run(spark, sf_dir):
     if bad:
         raise RuntimeError(str(bad))
     return spark.read.parquet(path)
+
+
+def _runner(spark, project: dict):
+    """Runs of a project with one state and one folder for what they write."""
+    import tempfile
+
+    from .project import from_dict
+    from .runner import Run
+    from .state import State
+
+    made, folder = from_dict(project), new_path(spark, "runs")
+    state = tempfile.mkdtemp(prefix="tidemill-") + "/state.json"
+    return lambda **more: Run(spark, made, State(state), folder=folder, **more)
+
+
+def _orders_project(path: str, **source) -> dict:
+    return {"name": "orders", "sources": [{"connection": "lake", "entity": "o", "path": path, "cursor": "o_orderkey", "cursor_type": "bigint", **source}], "pipelines": []}
+
+
+@query("select o_orderkey, o_totalprice from orders")
+def run_first_watermark(spark, sf_dir):
+    """A watermark in SQL: the first run takes all of what is there, the second what has come since."""
+    path, out = new_path(spark, "in"), new_path(spark, "out")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    middle = o.agg(F.percentile("o_orderkey", 0.5)).first()[0]
+    made = _orders_project(path)
+    made["pipelines"] = [{"name": "new", "sql": "select * from {{ source('lake', 'o') }} where o_orderkey > {{ watermark('lake', 'o') }}", "outputs": [{"name": "q", "path": out, "mode": "append", "accept_duplicates": True}]}]
+    run = _runner(spark, made)
+    for part in (o.where(F.col("o_orderkey") <= middle), o.where(F.col("o_orderkey") > middle)):
+        part.write.mode("append").parquet(path)
+        run().execute()
+    return spark.read.parquet(out)
+
+
+@query("select o_orderkey, n from orders, (values ('a'), ('b')) t(n)")
+def run_retry_advance(spark, sf_dir):
+    """One reader fails, rows come, the run is tried again, and one more run follows: both outputs hold all rows once."""
+    path, outs, late = new_path(spark, "in"), {n: new_path(spark, n) for n in "ab"}, new_path(spark, "late")
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    middle = o.agg(F.percentile("o_orderkey", 0.5)).first()[0]
+    made = _orders_project(path, mode="incremental", initial="-1")
+    made["pipelines"] = [{"name": n, "sql": "select o_orderkey from {{ source('lake', 'o') }}" + (f" where o_orderkey not in (select id from parquet.`{late}`)" if n == "b" else ""), "outputs": [{"name": n, "path": outs[n], "mode": "append", "accept_duplicates": True}]} for n in "ab"]
+    run = _runner(spark, made)
+    o.where(F.col("o_orderkey") <= middle).write.parquet(path)
+    first = run()
+    if {n: r.status for n, r in first.execute().items()} != {"a": "done", "b": "failed"}:
+        raise RuntimeError(str(first.results))
+    o.where(F.col("o_orderkey") > middle).write.mode("append").parquet(path)
+    spark.createDataFrame([(-5,)], "id long").write.parquet(late)
+    run(retry_of=first.save()).execute()
+    run().execute()
+    a, b = (spark.read.parquet(outs[n]).withColumn("n", F.lit(n)) for n in "ab")
+    return a.unionByName(b)
+
+
+@query("select 'failed' as status, count(*) as violations, 0 as delivered from orders where o_orderstatus = 'F'")
+def run_failed_check(spark, sf_dir):
+    """A broken check fails its node: nothing is delivered."""
+    out = new_path(spark, "out")
+    made = _orders_project(f"{sf_dir}/orders.parquet")
+    made["pipelines"] = [{"name": "q", "sql": "select nullif(o_orderstatus, 'F') as s from {{ source('lake', 'o') }}", "checks": [{"type": "not_null", "columns": ["s"]}], "outputs": [{"name": "q", "path": out, "mode": "append"}]}]
+    got = _runner(spark, made)().execute()["q"]
+    try:
+        n = spark.read.parquet(out).count()
+    except AnalysisException:
+        n = 0
+    return spark.createDataFrame([(got.status, got.violations["0:not_null"], n)], "status string, violations long, delivered int")
+
+
+@query("select c_custkey, c_name, c_acctbal, kind from customer, (values (1), (2)) t(k), (values ('csv'), ('tsv'), ('json')) u(kind)")
+def run_csv_append_twice(spark, sf_dir):
+    """Two runs append to text formats: the second finds the columns and types of the first."""
+    outs = {kind: new_path(spark, kind) for kind in ("csv", "tsv", "json")}
+    made = {"name": "p", "sources": [{"connection": "lake", "entity": "c", "path": f"{sf_dir}/customer.parquet"}]}
+    made["pipelines"] = [{"name": kind, "sql": "select c_custkey, c_name, c_acctbal from {{ source('lake', 'c') }}", "outputs": [{"name": kind, "path": path, "format": kind}]} for kind, path in outs.items()]
+    run = _runner(spark, made)
+    for _ in range(2):
+        bad = {n: r.message for n, r in run().execute().items() if r.status != "done"}
+        if bad:
+            raise RuntimeError(str(bad))
+    columns = {"c_custkey": "bigint", "c_name": "varchar", "c_acctbal": "double"}
+    parts = [read_files(spark, kind, path, columns).withColumn("kind", F.lit(kind)) for kind, path in outs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -19,11 +19,12 @@ from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import changes, checks, schema
 from ..operators.incremental import Slice, capture, read_slice
-from ..sources.files import read_files, with_policy, write_files
-from ..storage import staged
+from ..sources.files import read_back, read_files, with_policy, write_files
+from ..storage import read_text, staged, write_text
 from . import cursors
 from .graph import downstream, ordered, select
 from .project import Output, Pipeline, Project, Rendered, Source, node_id, render, sources_of, validate
@@ -43,6 +44,14 @@ class Transient(RuntimeError):
     """A failure that may pass: the step is tried again."""
 
 
+class ChecksFailed(RuntimeError):
+    """Rows break a check: the pipeline's outputs are not written."""
+
+    def __init__(self, violations: dict[str, int], samples: dict[str, list]):
+        super().__init__("; ".join(f"{k}: {n}" for k, n in violations.items()))
+        self.violations, self.samples = violations, samples
+
+
 def with_retry(step: Callable, attempts: int = 3, base: float = 1.0, cap: float = 30.0, sleep: Callable[[float], None] = time.sleep):
     """``step()``, again after a failure that may pass, with pauses that double, give or take 25 %."""
     for attempt in range(attempts):
@@ -58,9 +67,11 @@ class Run:
     """One run of a project over a session, with its state and events.
 
     With a ``folder`` (one that all executors see), what is written once stays there under the run's
-    id, beside ``results.json``. A run that gets the results of a failed one as ``retry_of`` takes over
-    what that had done: nodes of the same content aren't delivered again, and their tables are
-    read if their rows are still all there.
+    id, beside ``results.json``: tables of pipelines, and the slices of incremental sources. A run that
+    gets the results of a failed one as ``retry_of`` takes over what that had done: nodes of the same
+    content aren't delivered again, and their tables and slices are read if their rows are still
+    all there. So all readers of a source get the same rows, and its watermark never passes rows
+    that one of them didn't get.
     """
 
     def __init__(self, spark: SparkSession, project: Project, state: State, now: datetime | None = None, events: str | None = None, folder: str | None = None, retry_of: str | None = None):
@@ -69,37 +80,49 @@ class Run:
         self.id = uuid.uuid4().hex
         self.rendered: dict[str, Rendered] = validate(project)
         self.results: dict[str, Result] = {}
-        self.slices: dict[str, Slice] = {}
         self.deletes: dict[str, DataFrame] = {}
-        self.loaded: dict[str, DataFrame] = {}
         self.kept: dict[str, dict] = {}
         self.folder = folder
-        self.before: dict[str, dict] = json.loads(Path(retry_of).read_text())["nodes"] if retry_of else {}
+        earlier = json.loads(read_text(spark, retry_of)) if retry_of else {}
+        self.before: dict[str, dict] = earlier.get("nodes", {})
+        self.sliced: dict[str, dict] = earlier.get("sources", {})
+        self.captured: dict[str, dict] = {}
+        self.named = {s.view for r in self.rendered.values() for s in r.watermarks}
         self.nodes = self.manifest()
         self._events = Path(events) if events else None
 
     def _took_over(self, name: str) -> DataFrame | None:
         """What an earlier run wrote for a node of the same content, if it is whole."""
         old = self.before.get(name)
-        if not old or old["node"] != self.nodes[name] or old["status"] not in ("done", "reused") or not old.get("path"):
+        if not old or old["node"] != self.nodes[name] or old["status"] not in ("done", "reused"):
+            return None
+        df = self._whole(old)
+        if df is not None:
+            self.kept[name] = {"path": old["path"], "rows": old["rows"]}
+        return df
+
+    def _whole(self, old: dict) -> DataFrame | None:
+        """What was written to a path, if all its rows are still there."""
+        if not old.get("path"):
             return None
         try:
             df = self.spark.read.parquet(old["path"])
-            whole = df.count() == old["rows"]
+            return df if df.count() == old["rows"] else None
         except AnalysisException:
             return None
-        if not whole:
-            return None
-        self.kept[name] = {"path": old["path"], "rows": old["rows"]}
-        return df
+
+    def _written(self, df: DataFrame, name: str) -> tuple[DataFrame, dict]:
+        path = f"{self.folder.rstrip('/')}/{self.id}/{name}"
+        df.write.parquet(path)
+        df = self.spark.read.parquet(path)
+        return df, {"path": path, "rows": df.count()}
 
     def save(self) -> str:
         """Write results.json into the run's folder; returns its path."""
-        path = Path(self.folder.removeprefix("file://")) / self.id / "results.json"
-        path.parent.mkdir(parents=True, exist_ok=True)
+        path = f"{self.folder.rstrip('/')}/{self.id}/results.json"
         nodes = {n: asdict(r) | {"node": self.nodes[n]} | self.kept.get(n, {}) for n, r in self.results.items()}
-        path.write_text(json.dumps({"run": self.id, "nodes": nodes}, indent=1))
-        return str(path)
+        write_text(self.spark, path, json.dumps({"run": self.id, "nodes": nodes, "sources": self.captured}, indent=1))
+        return path
 
     def event(self, kind: str, **what) -> None:
         if self._events:
@@ -134,11 +157,34 @@ class Run:
         if source.mode == "cdc":
             df, self.deletes[source.view] = changes.collapse(df, [*source.keys], "_lsn", "_op", ["_changed_at"])
         elif source.mode == "incremental":
-            self.slices[source.view] = self.slice(source)
-            df = read_slice(df, source.cursor, self.slices[source.view])
-        self.loaded[source.view] = df
+            df = self._part(source, df)
+        elif source.view in self.named:
+            df = self._captured(source, df, Slice())
+            low = self.captured[source.view]["watermark"]
+            if low is not None:
+                df = read_slice(df, source.cursor, Slice(None, cursors.parse(low, source.cursor_type)), keep_null=True)
         df.createOrReplaceTempView(source.view)
 
+    def _part(self, source: Source, df: DataFrame) -> DataFrame:
+        """The slice of an incremental source, or the one that an earlier run had taken."""
+        old = self.sliced.get(source.view, {})
+        taken = self._whole(old)
+        if taken is not None:
+            self.captured[source.view] = old
+            return taken
+        part = self.slice(source)
+        df, kept = read_slice(df, source.cursor, part), {}
+        if self.folder:
+            df, kept = self._written(df, source.view)
+        df = self._captured(source, df, part)
+        self.captured[source.view] |= kept
+        return df
+
+    def _captured(self, source: Source, df: DataFrame, part: Slice) -> DataFrame:
+        got = capture(df, source.cursor, part).first().watermark
+        self.captured[source.view] = {"watermark": None if got is None else cursors.canonical(got, source.cursor_type), "fresh": bool(self.before)}
+        return df
+
     def build(self, pipeline: Pipeline) -> DataFrame:
         old = self._took_over(pipeline.name)
         if old is not None:
@@ -150,10 +196,7 @@ class Run:
         readers = len(pipeline.outputs) + len(pipeline.checks)
         if pipeline.materialization == "table" or (readers > 1 and pipeline.materialization != "ephemeral"):
             if self.folder:
-                path = f"{self.folder}/{self.id}/{pipeline.name}"
-                df.write.parquet(path)
-                df = self.spark.read.parquet(path)
-                self.kept[pipeline.name] = {"path": path, "rows": df.count()}
+                df, self.kept[pipeline.name] = self._written(df, pipeline.name)
             else:
                 df = staged(df, pipeline.name)
         df.createOrReplaceTempView(pipeline.name)
@@ -177,13 +220,18 @@ class Run:
                 made.append(checks.custom_sql(self.spark.sql(o["sql"])))
             else:
                 raise ValueError(f"there is no check {c.type}")
-        return {f"{k}:{r.check}": r.violations for k, r in enumerate(checks.all_checks(made).collect())} if made else {}
+        if not made:
+            return {}
+        found = [r.violations for r in checks.all_checks([m.withColumn("k", F.lit(k)) for k, m in enumerate(made)]).orderBy("k").collect()]
+        out = {f"{k}:{c.type}": n for k, (c, n) in enumerate(zip(pipeline.checks, found, strict=True))}
+        broken = {k: c for k, c in zip(out, pipeline.checks, strict=True) if out[k] and c.options.get("severity", "error") == "error"}
+        if broken:
+            samples = {k: [r.asDict() for r in checks.violating_rows(df, c.type, [*c.columns], c.options.get("values")).collect()] for k, c in broken.items() if c.type in ("not_null", "unique", "accepted_values")}
+            raise ChecksFailed(out, samples)
+        return out
 
     def deliver(self, output: Output, df: DataFrame, sources: list[Source]) -> None:
-        try:
-            there = self.spark.read.format(output.format).load(output.path) if output.mode != "replace" else None
-        except AnalysisException:
-            there = None
+        there = read_back(self.spark, output.format, output.path, df, **output.options) if output.mode != "replace" else None
         if there is not None and output.mode != "merge":
             df = with_policy(schema.columns_of(there), df, output.schema_policy)
         if output.mode == "merge":
@@ -195,29 +243,30 @@ class Run:
                 self.event("merge_duplicates", output=output.name, extra=guard.extra_rows)
             target = there if there is not None else df.limit(0)
             if output.on_delete:
-                from pyspark.sql import functions as F
-
                 gone = self.deletes.get(sources[0].view, df.limit(0).select(*keys))
                 df = changes.apply_changes(target, df, gone, keys, output.on_delete, at=F.lit(self.now).cast("timestamp_ntz"))
             else:
                 df = changes.merge(target, df, keys)
         mode = "append" if output.mode == "append" else "replace"
-        with_retry(lambda: write_files(df, output.format, output.path, mode, [*output.partition_by] or None))
+        with_retry(lambda: write_files(df, output.format, output.path, mode, [*output.partition_by] or None, **output.options))
 
     def advance(self) -> None:
-        """Move on the watermarks of sources all of whose outputs were delivered in this run."""
+        """Move on the watermarks of sources whose rows all readers have delivered, to the last of
+        these rows. A source that a retry had to load again stays where it is if a reader was not
+        run again: that one has not got the new rows."""
         for source in self.project.sources:
-            if source.view not in self.slices:
+            got = self.captured.get(source.view)
+            if not got:
                 continue
             reading = {n for n, r in self.rendered.items() if source.view in {s.view for s in r.sources}}
-            below = downstream(self.rendered, reading)
-            if any(n not in self.results or self.results[n].status not in ("done", "reused") for n in below):
+            below = [self.results.get(n) for n in downstream(self.rendered, reading)]
+            if any(r is None or r.status not in ("done", "reused") for r in below) or (got["fresh"] and any(r.status == "reused" for r in below)):
                 self.event("watermark_held", source=source.view)
                 continue
-            got = capture(self.loaded[source.view], source.cursor, self.slices[source.view]).first()
-            if got.watermark is not None:
-                value = cursors.canonical(got.watermark, source.cursor_type)
-                self.state.set(f"watermark/{source.view}", {"value": value, "type": source.cursor_type, "run": self.id}, self.id)
+            last, mark = got["watermark"], self.mark(source)
+            if last is None or (mark is not None and cursors.parse(mark, source.cursor_type) >= cursors.parse(last, source.cursor_type)):
+                continue
+            self.state.set(f"watermark/{source.view}", {"value": last, "type": source.cursor_type, "run": self.id}, self.id)
 
     def execute(self, selector: str = "*") -> dict[str, Result]:
         chosen = select(self.project, self.rendered, selector)
@@ -245,6 +294,9 @@ class Run:
                 else:
                     violations = {}
                 self.results[name] = Result(name, "done", violations=violations)
+            except ChecksFailed as e:
+                self.event("check_failed", node=name, samples=json.loads(json.dumps(e.samples, default=str)))
+                self.results[name] = Result(name, "failed", message=f"checks: {e}", violations=e.violations)
             except Exception as e:
                 self.results[name] = Result(name, "failed", message=f"{type(e).__name__}: {str(e)[:500]}")
             self.event("node_finished", **asdict(self.results[name]))
@@ -255,11 +307,11 @@ class Run:
         return self.results
 
     def manifest(self) -> dict[str, str]:
-        """The node id of each pipeline: what it computes, by content."""
+        """The node id of each pipeline: what it reads, computes, checks and writes, by content."""
         out: dict[str, str] = {}
         for name in ordered(self.rendered):
             r = self.rendered[name]
-            out[name] = node_id(self.project.pipeline(name), r, [out[x] for x in r.refs] + [s.view for s in r.sources])
+            out[name] = node_id(self.project.pipeline(name), r, [out[x] for x in r.refs] + [json.dumps(asdict(s), sort_keys=True) for s in r.sources])
         return out
 
 

@@ -10,8 +10,10 @@ from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.schema import SchemaDrift, check_policy, columns_of
 from .contracts import ContractError, schema_of
@@ -73,6 +75,29 @@ def read_files(spark: SparkSession, kind: str, paths: str | list[str], columns:
     return read.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(columns).fields])
 
 
+def read_back(spark: SparkSession, kind: str, path: str, like: DataFrame, **options: str) -> DataFrame | None:
+    """What stands in an output, its columns of the types that ``like`` has for them (others as text);
+    None if nothing is there. Text formats hold no types, so those of new rows count."""
+    known = {f.name: f.dataType for f in like.schema.fields}
+    sep = "\t" if kind == "tsv" else options.get("delimiter", ",")
+    try:
+        if kind in ("csv", "tsv"):
+            reader = spark.read.option("header", True).option("sep", sep)
+            names = reader.csv(path).columns
+            typed = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
+            return reader.schema(typed).option("mode", "FAILFAST").option("enforceSchema", False).csv(path) if names else None
+        found = read_files(spark, kind, path, **options)
+        if kind not in ("json", "xml"):
+            return found
+        typed = T.StructType([T.StructField(f.name, known.get(f.name, f.dataType)) for f in found.schema.fields])
+        reader = spark.read.schema(typed).option("mode", "FAILFAST")
+        if not found.columns:
+            return None
+        return reader.json(path) if kind == "json" else reader.format("xml").option("rowTag", options.get("row", "row")).load(path)
+    except AnalysisException:
+        return None
+
+
 def read_archives(spark: SparkSession, paths: str | list[str], member: str = "*") -> DataFrame:
     """path, member, line of the text files in zip archives whose names match ``member``.
 

@@ -4,8 +4,9 @@
 url, paging and columns (a contract as JSON: {name: [pointer, type]}). The rows of a page are the
 array at ``items``. Paging is one of: ``page`` (?page=1, 2 ... until a page is empty), ``offset``
 (?offset=0, n ...), ``cursor`` (the token at ``next`` comes back as ?cursor=), ``next_url`` (the
-address at ``next``), ``link`` (the Link header's rel="next"). With ``pages`` given, pages are
-read in parallel, each in a task of its own; otherwise one task follows the chain. ``headers``
+address at ``next``), ``link`` (the Link header's rel="next"). With ``pages`` given, so many
+pages are read in parallel, each in a task of its own, and the last task follows the chain as far
+as it goes; otherwise one task follows all of it. ``headers``
 (JSON) go with each request. For services that list the newest first, ``stop_pointer`` and
 ``stop_at`` end the chain at the first row that isn't above the stored watermark; a row that is
 newer than the one before it fails the read.
@@ -93,8 +94,8 @@ def _with(url: str, **query) -> str:
 
 
 class Page(InputPartition):
-    def __init__(self, url: str, follow: bool):
-        self.url, self.follow = url, follow
+    def __init__(self, url: str, follow: bool, number: int = 0):
+        self.url, self.follow, self.number = url, follow, number
 
 
 class PagedReader(DataSourceReader):
@@ -109,9 +110,9 @@ class PagedReader(DataSourceReader):
         url, pages = self.options["url"], int(self.options.get("pages", 0))
         size = int(self.options.get("size", 100))
         if pages and self.paging == "page":
-            return [Page(_with(url, page=k + 1), False) for k in range(pages)]
+            return [Page(_with(url, page=k + 1), k + 1 == pages, k) for k in range(pages)]
         if pages and self.paging == "offset":
-            return [Page(_with(url, offset=k * size, limit=size), False) for k in range(pages)]
+            return [Page(_with(url, offset=k * size, limit=size), k + 1 == pages, k) for k in range(pages)]
         return [Page(url, True)]
 
     def _next(self, url: str, number: int, rows: int, page, headers) -> str | None:
@@ -129,11 +130,11 @@ class PagedReader(DataSourceReader):
         return urllib.parse.urljoin(url, token) if self.paging == "next_url" else _with(url, cursor=token)
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        url, number, seen = partition.url, 0, set()
+        url, number, seen = partition.url, partition.number, set()
         headers_out = json.loads(self.options.get("headers", "{}"))
         stop, pointer, newest = self.options.get("stop_at"), self.options.get("stop_pointer", ""), None
         if partition.follow and self.paging == "page":
-            url = _with(url, page=1)
+            url = _with(url, page=number + 1)
         while url:
             if url in seen:
                 raise ValueError(f"the service leads back to {url}")

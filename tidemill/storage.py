@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,12 +24,14 @@ def session(name: str = "tidemill", **settings: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (as in tests, on one machine) a temporary folder is
-    made and set.
+    Only where the session does not name one and runs on one machine (as in tests) a temporary
+    folder is made and set; on a cluster that is an error, since executors would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+        if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not path:
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemill-"))
             path = spark.sparkContext.getCheckpointDir()
@@ -49,6 +52,31 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file wherever Spark's paths lead."""
+    _, at, files = _file(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    jvm, at, files = _file(spark, path)
+    stream = files.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
