@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import os
+import random
 import re
 
 import duckdb
@@ -215,6 +216,33 @@ def test_karmarkar_karp():
     assert sorted(sum(s for s, p in zip([8, 7, 6, 5, 4], sharding.karmarkar_karp([8, 7, 6, 5, 4], 2), strict=True) if p == k) for k in (0, 1)) == [14, 16]
 
 
+def test_differencing_of_partial_partitions():
+    rng = random.Random(7)
+    items = [[rng.randrange(1000) for _ in range(4)] for _ in range(300)] + [[5000], [7, 9]]
+    placed = sharding.differenced(items, 4)
+    totals = [0] * 4
+    for sums, parts in zip(items, placed, strict=True):
+        assert len(parts) == len(sums) == len(set(parts)), "sums that are apart stay apart"
+        for x, part in zip(sums, parts, strict=True):
+            totals[part] += x
+    assert max(totals) - min(totals) <= 10
+    assert sharding.differenced([], 3) == [] and sharding.differenced([[4]], 1) == [[0]]
+
+
+@pytest.mark.parametrize("cell", [5, 40, 700])
+def test_sharding_through_several_levels_of_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(sharding, "CELL_ITEMS", cell)
+    rng = random.Random(cell)
+    rows = [(i, "x" * rng.randrange(1, 400) + str(i)) for i in range(1500)] + [(5000 + i, "copy " * 30) for i in range(200)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sizes, copies = collections.Counter(), set()
+    for r in got:
+        sizes[r.shard] += len(r.text) + 1
+        copies |= {r.shard} if r.doc_id >= 5000 else set()
+    assert len(got) == len(rows) and len(copies) == 1 and len(sizes) == 8
+    assert max(sizes.values()) - min(sizes.values()) <= (10 if cell == 700 else 405), "no more than one text"
+
+
 def test_sharding(spark, odd, tmp_path):
     rows = [(i, f"text number {i % 300} " * (i % 7 + 1)) for i in range(3000)] + ODD
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -4,31 +4,33 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, staged, utf8_bytes
 
-#: Groups above this share of all bytes are placed singly; there are as many at most.
-SINGLE = 16_384
-#: The lighter groups are gathered by hash into so many cells.
-CELLS = 4_096
+#: Items that are differenced together, about, and by the driver at most.
+CELL_ITEMS = 8_192
 #: Rows of a shard that one task numbers.
 NUMBERED_ROWS = 10_000
 
 
-def karmarkar_karp(sizes: list[int], parts: int) -> list[int]:
-    """The part (0 to ``parts`` - 1) of each size, by largest differencing.
+def differenced(items: list[list[int]], parts: int) -> list[list[int]]:
+    """For each item (a list of ``parts`` sums or fewer) the part that each of its sums goes to.
 
-    Each size begins as a partial partition of its own. Again and again the two with the largest
+    Each item begins as a partial partition of its own. Again and again the two with the largest
     spread are combined, the largest part of one with the smallest of the other. Parts are kept
     as trees of pairs, so combining costs ``parts`` steps whatever they hold.
     """
     heap = []
-    for i, size in enumerate(sizes):
-        heap.append((-size, i, [size] + [0] * (parts - 1), [i] + [None] * (parts - 1)))
+    for i, sums in enumerate(items):
+        both = sorted(((x, k) for k, x in enumerate(sums)), key=lambda p: (-p[0], p[1]))
+        least = both[-1][0] if len(both) == parts else 0
+        free = parts - len(both)
+        heap.append((least - both[0][0], i, [x - least for x, _ in both] + [0] * free, [[i, k] for _, k in both] + [None] * free))
     heapq.heapify(heap)
-    made = len(sizes)
+    made = len(items)
     while len(heap) > 1:
         _, _, sums_a, held_a = heapq.heappop(heap)
         _, _, sums_b, held_b = heapq.heappop(heap)
@@ -41,22 +43,75 @@ def karmarkar_karp(sizes: list[int], parts: int) -> list[int]:
         sums = [x - least for x, _ in both]
         heapq.heappush(heap, (-sums[0], made, sums, held))
         made += 1
-    out = [0] * len(sizes)
-    if heap:
-        for part, tree in enumerate(heap[0][3]):
-            stack = [] if tree is None else [tree]
-            while stack:
-                node = stack.pop()
-                if isinstance(node, tuple):
-                    stack.extend(node)
-                else:
-                    out[node] = part
+    out = [[0] * len(sums) for sums in items]
+    for part, tree in enumerate(heap[0][3] if heap else []):
+        stack = [] if tree is None else [tree]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, tuple):
+                stack.extend(node)
+            else:
+                out[node[0]][node[1]] = part
     return out
 
 
-def _groups(docs: DataFrame, text: str, h1: str, h2: str, size: str) -> DataFrame:
+def karmarkar_karp(sizes: list[int], parts: int) -> list[int]:
+    """The part (0 to ``parts`` - 1) of each size, by largest differencing."""
+    return [p for p, in differenced([[s] for s in sizes], parts)]
+
+
+def _cells(items: DataFrame, count: int, n_shards: int) -> DataFrame:
+    """The items (item, sums) of each of ``count`` cells differenced, a row for each of their sums:
+    item, old (its place among the sums), cell, part, size."""
+
+    def place(rows: pa.Table) -> pa.Table:
+        order = sorted(zip(*(rows.column(c).to_pylist() for c in ("cell", "item", "sums")), strict=True))
+        out = [(item, old, cell, part, sums[old]) for (cell, item, sums), parts in zip(order, differenced([r[2] for r in order], n_shards), strict=True) for old, part in enumerate(parts)]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["item", "old", "cell", "part", "size"])
+
+    cell = F.pmod(F.xxhash64("item"), F.lit(count))
+    return items.withColumn("cell", cell).groupBy("cell").applyInArrow(place, "item long, old int, cell long, part int, size long")
+
+
+def placed_groups(groups: DataFrame, n_shards: int) -> DataFrame:
+    """item, shard of the groups (item, size), by differencing alone.
+
+    Groups are dealt to cells of about ``CELL_ITEMS`` by hash and differenced there, in tasks: a cell
+    becomes one partial partition. These are differenced in cells again, until there are few
+    enough for the driver; each part then follows its cell's.
+    """
+    spark = groups.sparkSession
+    items, levels = groups.select("item", F.array(F.col("size")).alias("sums")), []
+    n = groups.count()
+    while n > CELL_ITEMS:
+        n = -(-n // CELL_ITEMS)
+        level = staged(_cells(items, n, n_shards), "cells")
+        levels.append(level)
+        sums = F.array(*[F.sum(F.when(F.col("part") == k, F.col("size")).otherwise(0)) for k in range(n_shards)])
+        items = staged(level.groupBy("cell").agg(sums.alias("sums")).withColumnRenamed("cell", "item"), "sums")
+    top = sorted((r.item, list(r.sums)) for r in items.collect())
+    parts = differenced([sums for _, sums in top], n_shards)
+    rows = [(item, old, part) for (item, _), placed in zip(top, parts, strict=True) for old, part in enumerate(placed)]
+    placed = F.broadcast(spark.createDataFrame(rows, "item long, old int, shard int"))
+    for level in reversed(levels):
+        above = placed.select(F.col("item").alias("cell"), F.col("old").alias("part"), "shard")
+        placed = level.join(above, ["cell", "part"]).select("item", "old", "shard")
+    return placed.select("item", "shard")
+
+
+def _keyed(docs: DataFrame, text: str, item: str, other: str, size: str) -> DataFrame:
     known = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumns({h1: F.xxhash64(known), h2: F.xxhash64(F.lit(1), known), size: utf8_bytes(F.col(text).cast("string")) + 1})
+    return docs.withColumns({item: F.xxhash64(known), other: F.xxhash64(F.lit(1), known), size: utf8_bytes(F.col(text).cast("string")) + 1})
+
+
+def _sharded(keyed: DataFrame, item: str, other: str, size: str, n_shards: int, shard: str) -> DataFrame:
+    groups = keyed.groupBy(item, other).agg(F.sum(size).alias("size"))
+    groups = staged(groups.select(F.xxhash64(item, other).alias("item"), F.col(item).alias("a"), F.col(other).alias("b"), "size"), "groups")
+    # Groups whose numbers agree by chance are one item, so that none is placed twice.
+    placed = staged(placed_groups(groups.groupBy("item").agg(F.sum("size").alias("size")), n_shards), "placed")
+    shards = groups.join(placed, "item").select(F.col("a").alias(item), F.col("b").alias(other), F.col("shard").alias(shard))
+    return keyed.join(staged(shards, "shards"), [item, other])
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8, text: str = "text", shard: str = "shard") -> DataFrame:
@@ -65,26 +120,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, text: str = "text", shard
     A row weighs the UTF-8 bytes of its text plus 1 (null: 1). Rows of equal text (null counts
     as empty) are one group and stay together; a group above a shard's fair share makes its shard
     larger. A column ``shard`` that is there is replaced; rows and other columns stay. An empty
-    table stays empty.
+    table stays empty. Ties between groups fall by their hashes, so equal input gives equal shards.
 
-    Groups are summed before any shuffle. The driver places ``SINGLE`` + ``CELLS`` items at
-    most: each group above 1/``SINGLE`` of all bytes, and ``CELLS`` cells of lighter groups.
+    Groups are summed before any shuffle, and placed by ``placed_groups`` whatever their size.
     """
     docs = docs.select(*[c for c in docs.columns if c != shard])
-    h1, h2, size, cell, single, celled = fresh(docs.withColumn(shard, F.lit(0)), "group_a", "group_b", "group_bytes", "cell", "single_shard", "cell_shard")
-    keyed = _groups(docs, text, h1, h2, size)
-    spark = docs.sparkSession
-    groups = staged(keyed.groupBy(h1, h2).agg(F.sum(size).alias(size)), "groups")
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    heavy = [tuple(r) for r in groups.where(F.col(size) * SINGLE > F.lit(total)).select(h1, h2, size).collect()]
-    light = [tuple(r) for r in groups.where(F.col(size) * SINGLE <= F.lit(total)).groupBy(F.pmod(h2, F.lit(CELLS)).cast("int").alias(cell)).agg(F.sum(size).alias(size)).collect()]
-    heavy.sort()
-    light.sort()
-    placed = karmarkar_karp([r[2] for r in heavy] + [r[1] for r in light], n_shards)
-    singles = spark.createDataFrame([(a, b, s) for (a, b, _), s in zip(heavy, placed, strict=False)], f"{h1} long, {h2} long, {single} int")
-    cells = spark.createDataFrame([(c, s) for (c, _), s in zip(light, placed[len(heavy) :], strict=True)], f"{cell} int, {celled} int")
-    joined = keyed.withColumn(cell, F.pmod(h2, F.lit(CELLS)).cast("int")).join(F.broadcast(singles), [h1, h2], "left").join(F.broadcast(cells), [cell], "left")
-    return joined.select(*docs.columns, F.coalesce(single, celled).alias(shard))
+    item, other, size = fresh(docs.withColumn(shard, F.lit(0)), "group_a", "group_b", "group_bytes")
+    return _sharded(_keyed(docs, text, item, other, size), item, other, size, n_shards, shard).select(*docs.columns, shard)
 
 
 def numbered(rows: DataFrame, shard: str, *order: str, slot: str = "slot", n_shards: int = 8) -> DataFrame:
@@ -105,14 +147,20 @@ def numbered(rows: DataFrame, shard: str, *order: str, slot: str = "slot", n_sha
 
 
 def shard_report(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document."""
-    known = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select("doc_id", "text")
-    sharded = shard_by_bytes(slim, n_shards).select("doc_id", (utf8_bytes(F.col("text")) + 1).alias("size"), F.crc32(known).alias("text_crc32"), "shard")
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document.
+
+    Null texts weigh 1 byte and count as empty; equal texts share a shard; repeated rows and rows
+    without doc_id have slots of their own. An empty table gives no rows. Texts aren't shuffled.
+    """
+    slim = _keyed(docs.select("doc_id", "text"), "text", "a", "b", "size").withColumn("text_crc32", F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")))).drop("text")
+    sharded = _sharded(slim, "a", "b", "size", n_shards, "shard").select("doc_id", "size", "text_crc32", "shard")
     rows = numbered(staged(sharded, "sharded"), "shard", "doc_id", "size", "text_crc32", n_shards=n_shards)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Write ``docs`` as Parquet under ``path``/shard=0 ... by ``shard_by_bytes``."""
+    """Write ``docs`` as Parquet under ``path``/shard=0 ... by ``shard_by_bytes``.
+
+    Nulls, empty texts, ties and repeated rows are taken as there; an empty table writes no shard.
+    """
     shard_by_bytes(docs, n_shards).write.partitionBy("shard").parquet(path)
