@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, staged, utf8_bytes
 
-#: Items that are differenced together, about, and by the driver at most.
+#: Groups above this share of all bytes are differenced first, by the driver; there are as many at most.
+HEAVY = 16_384
+#: Other groups that are differenced together, about.
 CELL_ITEMS = 8_192
 #: Rows of a shard that one task numbers.
 NUMBERED_ROWS = 10_000
@@ -60,44 +62,37 @@ def karmarkar_karp(sizes: list[int], parts: int) -> list[int]:
     return [p for p, in differenced([[s] for s in sizes], parts)]
 
 
-def _cells(items: DataFrame, count: int, n_shards: int) -> DataFrame:
-    """The items (item, sums) of each of ``count`` cells differenced, a row for each of their sums:
-    item, old (its place among the sums), cell, part, size."""
-
-    def place(rows: pa.Table) -> pa.Table:
-        order = sorted(zip(*(rows.column(c).to_pylist() for c in ("cell", "item", "sums")), strict=True))
-        out = [(item, old, cell, part, sums[old]) for (cell, item, sums), parts in zip(order, differenced([r[2] for r in order], n_shards), strict=True) for old, part in enumerate(parts)]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["item", "old", "cell", "part", "size"])
-
-    cell = F.pmod(F.xxhash64("item"), F.lit(count))
-    return items.withColumn("cell", cell).groupBy("cell").applyInArrow(place, "item long, old int, cell long, part int, size long")
-
-
 def placed_groups(groups: DataFrame, n_shards: int) -> DataFrame:
     """item, shard of the groups (item, size), by differencing alone.
 
-    Groups are dealt to cells of about ``CELL_ITEMS`` by hash and differenced there, in tasks: a cell
-    becomes one partial partition. These are differenced in cells again, until there are few
-    enough for the driver; each part then follows its cell's.
+    The groups above 1/``HEAVY`` of all bytes are differenced first: they make one partial partition.
+    The others are dealt to cells of about ``CELL_ITEMS`` by hash, and each cell is differenced in a
+    task together with its share of that partial partition, scaled to the cell's bytes. So each cell
+    levels its part of what the heavy groups leave unequal, and the shards are level together.
     """
     spark = groups.sparkSession
-    items, levels = groups.select("item", F.array(F.col("size")).alias("sums")), []
-    n = groups.count()
-    while n > CELL_ITEMS:
-        n = -(-n // CELL_ITEMS)
-        level = staged(_cells(items, n, n_shards), "cells")
-        levels.append(level)
-        sums = F.array(*[F.sum(F.when(F.col("part") == k, F.col("size")).otherwise(0)) for k in range(n_shards)])
-        items = staged(level.groupBy("cell").agg(sums.alias("sums")).withColumnRenamed("cell", "item"), "sums")
-    top = sorted((r.item, list(r.sums)) for r in items.collect())
-    parts = differenced([sums for _, sums in top], n_shards)
-    rows = [(item, old, part) for (item, _), placed in zip(top, parts, strict=True) for old, part in enumerate(placed)]
-    placed = F.broadcast(spark.createDataFrame(rows, "item long, old int, shard int"))
-    for level in reversed(levels):
-        above = placed.select(F.col("item").alias("cell"), F.col("old").alias("part"), "shard")
-        placed = level.join(above, ["cell", "part"]).select("item", "old", "shard")
-    return placed.select("item", "shard")
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    heavy = sorted(tuple(r) for r in groups.where(F.col("size") * HEAVY > F.lit(total)).select("item", "size").collect())
+    shards = karmarkar_karp([size for _, size in heavy], n_shards)
+    sums = [0] * n_shards
+    for (_, size), shard in zip(heavy, shards, strict=True):
+        sums[shard] += size
+    placed = spark.createDataFrame([(item, shard) for (item, _), shard in zip(heavy, shards, strict=True)], "item long, shard int")
+    light = groups.where(F.col("size") * HEAVY <= F.lit(total))
+    n_light, rest = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    level = max(sums) == min(sums)
+
+    def place(rows: pa.Table) -> pa.Table:
+        cell = rows.column("cell")[0].as_py()
+        order = sorted(zip(rows.column("size").to_pylist(), rows.column("item").to_pylist(), strict=True), reverse=True)
+        share = sum(size for size, _ in order)
+        first, *others = differenced([[x * share // rest for x in sums]] + [[size] for size, _ in order], n_shards)
+        # The heavy groups' shards give the parts their numbers; where these are level, cells begin in turn.
+        number = {part: (k + cell * level) % n_shards for k, part in enumerate(first)}
+        return pa.table({"item": pa.array([item for _, item in order], pa.int64()), "shard": pa.array([number[part] for part, in others], pa.int32())})
+
+    cell = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-n_light // CELL_ITEMS)))).alias("cell")
+    return placed.unionByName(light.select("item", "size", cell).groupBy("cell").applyInArrow(place, "item long, shard int"))
 
 
 def _keyed(docs: DataFrame, text: str, item: str, other: str, size: str) -> DataFrame:
@@ -122,7 +117,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, text: str = "text", shard
     larger. A column ``shard`` that is there is replaced; rows and other columns stay. An empty
     table stays empty. Ties between groups fall by their hashes, so equal input gives equal shards.
 
-    Groups are summed before any shuffle, and placed by ``placed_groups`` whatever their size.
+    Groups are summed before any shuffle, and all placed by ``placed_groups``.
     """
     docs = docs.select(*[c for c in docs.columns if c != shard])
     item, other, size = fresh(docs.withColumn(shard, F.lit(0)), "group_a", "group_b", "group_bytes")
