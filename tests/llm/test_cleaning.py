@@ -229,7 +229,7 @@ def test_differencing_of_partial_partitions():
     assert sharding.differenced([], 3) == [] and sharding.differenced([[4]], 1) == [[0]]
 
 
-@pytest.mark.parametrize(("cell", "heavy"), [(300, 10), (300, 400), (300, 1)])
+@pytest.mark.parametrize(("cell", "heavy"), [(300, 20), (40, 400), (300, 700)])
 def test_sharding_in_cells(spark, monkeypatch, cell, heavy):
     monkeypatch.setattr(sharding, "CELL_ITEMS", cell)
     monkeypatch.setattr(sharding, "HEAVY", heavy)
@@ -241,8 +241,7 @@ def test_sharding_in_cells(spark, monkeypatch, cell, heavy):
         sizes[r.shard] += len(r.text) + 1
         copies |= {r.shard} if r.doc_id >= 5000 else set()
     assert len(got) == len(rows) and len(copies) == 1 and len(sizes) == 8
-    if heavy > 1:
-        assert max(sizes.values()) - min(sizes.values()) <= 405, "no more than one text"
+    assert max(sizes.values()) - min(sizes.values()) <= 405, "no more than one text"
 
 
 def test_sharding(spark, odd, tmp_path):
