@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -166,11 +167,42 @@ def test_wu_manber_random():
     rng = np.random.default_rng(2)
     for _ in range(300):
         n = int(rng.integers(1, 5))
-        pool = [b"a", b"b", b"c"]
-        patterns = {tuple(pool[k] for k in rng.integers(0, 3, n)): ["x"] for _ in range(4)}
-        text = [pool[k] for k in rng.integers(0, 3, 40)]
-        table = decontaminate.WuManber(patterns, n)
-        assert [at for at, _ in table.find(text)] == [at for at in range(41 - n) if tuple(text[at : at + n]) in patterns]
+        words = rng.integers(0, 3, 12).astype(np.uint64)
+        at = np.sort(rng.choice(13 - n, 4, replace=False))
+        patterns = {k: tuple(words[k : k + n].tolist()) for k in at.tolist()}
+        text = rng.integers(0, 3, 40).astype(np.uint64)
+        want = {(k, p) for k in range(41 - n) for p, w in patterns.items() if tuple(text[k : k + n].tolist()) == w}
+        found = [pair for starts, places in decontaminate.WuManber(words, at, n).find(text) for pair in zip(starts.tolist(), places.tolist(), strict=True)]
+        assert set(found) == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("compared", [1, 4096])
+def test_searcher_equals_brute_force(monkeypatch, compared):
+    monkeypatch.setattr(decontaminate, "COMPARED", compared)
+    rng = random.Random(5)
+    for _ in range(60):
+        items = [(str(k), " ".join(rng.choices("abc", k=rng.randrange(9)))) for k in range(6)]
+        text = rng.choices("abc", k=60)
+        window, spans, owners = rng.choice([1, 2, 3, 5]), set(), set()
+        for item, words in ((i, t.split()) for i, t in items):
+            m = min(window, len(words))
+            for at in range(61 - m) if m else ():
+                if any(text[at : at + m] == words[k : k + m] for k in range(len(words) - m + 1)):
+                    spans |= set(range(at, at + m))
+                    owners.add(item)
+        got, found = decontaminate.Searcher(items, window)([w.encode() for w in text])
+        assert {w for a, b in got for w in range(a, b)} == spans and found == owners
+
+
+def test_tables_of_a_benchmark_stay_small():
+    rng = random.Random(1)
+    items = [(str(k), " ".join(f"word{rng.randrange(50_000)}" for _ in range(400))) for k in range(1500)]
+    text = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    searcher = decontaminate.Searcher(items, 13)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 5 * text and peak < 12 * text and len(searcher.tables) == 1
 
 
 def test_quality(spark, sf_dir, odd):

@@ -1,8 +1,8 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
-The windows of the test items are the patterns. A table of word pairs ("blocks") tells how far
-the search may jump before any pattern can end; where the jump is 0, the pair picks the bucket of
-patterns that end in it, their first pair narrows it, and direct comparison confirms.
+The windows of the test items are the patterns. A table of hashed word pairs ("blocks") tells how
+far the search may jump before any pattern can end; where the jump is 0, the pair picks the bucket
+of patterns that end in it, their first pair narrows it, and direct comparison confirms.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fresh, slices, staged
+from .common import Recent, column, fresh, held, slices, staged
 
 #: ASCII capitals become small; other ASCII that is no letter or digit becomes a blank (fixed values).
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -28,67 +30,100 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split() if text else []
 
 
+#: Factors that mix the hashes of two words, and candidates that are compared at once.
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+COMPARED = 4_096
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a ^ (b >> np.uint64(29))) * _MIX[0] + b * _MIX[1]
+    return out ^ (out >> np.uint64(32))
+
+
 class WuManber:
-    """Finds all occurrences of word sequences of one length."""
+    """Finds all occurrences of word sequences of one length in texts of hashed words.
+
+    The patterns stay where they are: ``at`` says where in ``words`` (all words of the items, hashed)
+    each begins. One byte for each slot of hashed pairs says how far the search may jump; patterns
+    stand in the order of their bucket, which last and first pair give together. That is about 25
+    bytes a word, whatever the patterns' length.
+    """
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]], length: int):
-        self.length, self.block = length, min(2, length)
+    def __init__(self, words: np.ndarray, at: np.ndarray, length: int):
+        self.words, self.length, self.block = words, length, min(2, length)
         self.skip = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = pattern[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.skip), length - end)
-            self.buckets.setdefault(pattern[-self.block :], {}).setdefault(pattern[: self.block], []).append((list(pattern), items))
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
-        """The start and the items of each occurrence."""
-        shift, skip, length, block = self.shift.get, self.skip, self.length, self.block
-        n, end = len(words), length
-        if block == 1:
-            for at, word in enumerate(words):
-                if (word,) in self.buckets:
-                    yield from ((at, items) for _, items in self.buckets[word,][word,])
+        self.slots = np.uint64((1 << max(8, int(4 * len(at)).bit_length())) - 1)
+        self.shift = np.full(int(self.slots) + 1, min(self.skip, 255), np.uint8)
+        blocks = self._blocks(words)
+        for end in range(self.block, length + 1):
+            np.minimum.at(self.shift, blocks[at + (end - self.block)] & self.slots, np.uint8(min(length - end, 255)))
+        bucket = self._bucket(blocks, at)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.at = bucket[order], at[order].astype(np.uint32)
+
+    def _blocks(self, words: np.ndarray) -> np.ndarray:
+        return words if self.block == 1 else _pair(words[:-1], words[1:])
+
+    def _bucket(self, blocks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return _pair(blocks[at + (self.length - self.block)], blocks[at])
+
+    def find(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts in ``words`` and, beside them, starts of the patterns that occur there."""
+        n, length, block = len(words), self.length, self.block
+        if n < length or not len(self.at):
             return
+        blocks = self._blocks(words)
+        jumps = self.shift[blocks & self.slots].tobytes()
+        ends, end = [], length
         while end <= n:
-            pair = words[end - 2], words[end - 1]
-            jump = shift(pair, skip)
-            if jump:
-                end += jump
-                continue
-            at = end - length
-            found = self.buckets[pair].get((words[at], words[at + 1]))
-            if found:
-                here = words[at:end]
-                for pattern, items in found:
-                    if pattern == here:
-                        yield at, items
-            end += 1
+            jump = jumps[end - block]
+            if not jump:
+                ends.append(end)
+            end += jump or 1
+        if not ends:
+            return
+        starts = np.array(ends, np.int64) - length
+        bucket = self._bucket(blocks, starts)
+        first, last = np.searchsorted(self.bucket, bucket), np.searchsorted(self.bucket, bucket, "right")
+        span = np.arange(length)
+        for k in np.flatnonzero(last > first):
+            here = words[starts[k] : starts[k] + length]
+            for low in range(first[k], last[k], COMPARED):
+                found = self.at[low : min(last[k], low + COMPARED)].astype(np.int64)
+                found = found[(self.words[found[:, None] + span] == here).all(1)]
+                if len(found):
+                    yield np.full(len(found), starts[k]), found
 
 
 class Searcher:
-    """Searches a text for the windows of test items."""
+    """Searches texts for the windows of test items. Words are compared by 64 bits of hash each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        patterns: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
-        for item, text in items:
-            words = tuple(words_of(text))
-            length = min(window, len(words))
-            if length:
-                for at in range(len(words) - length + 1):
-                    owners = patterns.setdefault(length, {}).setdefault(words[at : at + length], [])
-                    if not owners or owners[-1] != item:
-                        owners.append(item)
-        self.tables = [WuManber(found, length) for length, found in sorted(patterns.items())]
+        self.known = Recent(xxhash.xxh3_64_intdigest, 200_000)
+        self.items = [item for item, _ in items]
+        found = [self.hashed(words_of(text)) for _, text in items]
+        sizes = np.array([len(w) for w in found], np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        words = np.concatenate([np.zeros(0, np.uint64), *found])
+        found.clear()
+        self.tables = []
+        lengths = np.minimum(sizes, window)
+        for length in sorted({*lengths.tolist()} - {0}):
+            chosen = np.flatnonzero(lengths == length)
+            counts = sizes[chosen] - length + 1
+            at = np.repeat(self.begins[chosen] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            self.tables.append(WuManber(words, at, length))
+
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        spans, items = [], set()
+        spans, items, hashed = set(), set(), self.hashed(words)
         for table in self.tables:
-            for at, owners in table.find(words):
-                spans.append((at, at + table.length))
-                items.update(owners)
-        return merged(spans), items
+            for starts, at in table.find(hashed):
+                spans.add((int(starts[0]), int(starts[0]) + table.length))
+                items.update(self.items[k] for k in (np.searchsorted(self.begins, at, "right") - 1).tolist())
+        return merged(sorted(spans)), items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,17 +138,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_searchers: dict[str, Searcher] = {}
-
-
-def _searcher(key: str, block, window: int) -> Searcher:
-    if key not in _searchers:
-        while len(_searchers) >= 2:
-            _searchers.pop(next(iter(_searchers)))
-        _searchers[key] = Searcher(block.value, window)
-    return _searchers[key]
-
-
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """``docs`` with what the benchmark's windows hit in each whole text.
 
@@ -124,9 +148,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, keep:
     texts have no words, items without words no windows. Columns of ``docs`` with those names are
     replaced; rows, repeats and other columns stay (``keep`` names the columns to return instead).
 
-    The benchmark is broadcast in blocks of about ``block_bytes``: each block is another pass
-    over the text inside the same tasks, so neither the driver nor a task holds more of it. No
-    shuffle of the documents.
+    The benchmark is broadcast in blocks of about ``block_bytes``, whose tables take about five times
+    that in a worker. Each block is a pass of its own over the texts, written before the next
+    one, so neither the driver nor a task holds more than one. No shuffle of the documents.
     """
     sc = docs.sparkSession.sparkContext
     added = ["n_words", "n_hit", "spans", "items"]
@@ -141,7 +165,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, keep:
         part = tests if n_blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k)
         last = k + 1 == n_blocks
         result = _pass(result, sc.broadcast([tuple(r) for r in part.collect()]), window, carried, last)
-        if k % 4 == 3 and not last:
+        if not last:
             result = staged(result, "searched")
     return result
 
@@ -151,7 +175,7 @@ def _pass(docs: DataFrame, block, window: int, text: str, last: bool) -> DataFra
     key = uuid.uuid4().hex
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _searcher(key, block, window)
+        find = held(key, lambda: Searcher(block.value, window))
         for batch in slices(batches):
             counts, hits, all_spans, all_items = [], [], [], []
             for t, spans, items in zip(*(column(batch, c).to_pylist() for c in (text, "spans", "items")), strict=True):
