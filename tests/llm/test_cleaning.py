@@ -6,11 +6,13 @@ import itertools
 import os
 import random
 import re
+import struct
 import tracemalloc
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, line_dedup, order_minhash, quality, sharding
@@ -138,6 +140,70 @@ def hits_by_hand(rows, tests, window=13):
     return sorted(out, key=str)
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: each value's hash is the seed of the next; nulls are passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, Small) else "<q", v)
+            seed = xxhash.xxh64(data, seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+class Small(int):
+    """An int of 32 bits."""
+
+
+def fingerprint_by_hand(text):
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    if len(text) > order_minhash.LONG_WORD * len(words):
+        words = [c for c in text if c not in " \t\n\x0b\f\r"]
+    hashes = [spark_hash(w) for w in words]
+    seen, chosen = collections.Counter(), collections.defaultdict(list)
+    for at in range(max(len(hashes) - 1, 1) if hashes else 0):
+        kmer = spark_hash(*hashes[at : at + 2]) >> 31
+        packed = (spark_hash(kmer, Small(seen[kmer])) >> 31 << 31) | at
+        seen[kmer] += 1
+        chosen[packed >> 58].append(packed)
+    out = []
+    for slot in range(-32, 32):
+        least = sorted(sorted(chosen[slot])[:2], key=lambda x: x & ((1 << 31) - 1))
+        out.append(spark_hash(*[(x >> 31) & ((1 << 33) - 1) for x in least]) >> 32 & 0xFFFFFFFF if least else None)
+    return out
+
+
+def likeness_by_hand(a, b):
+    used = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+
+def test_fingerprints_equal_brute_force(spark, sf_dir):
+    rows = [(i, t) for i, t in ODD] + [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = random.Random(3)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(400))
+    rows += [(90_000, han), (90_001, han[:200] + "x" + han[201:]), (90_002, "a b " * 50), (90_003, "one")]
+    rows += [(None, f"no id {k}") for k in range(40)] + [(77, f"same id {k}") for k in range(40)]
+    got = order_minhash.neighbour_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    as_signed = lambda t: spark_hash(t)
+    turn = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, as_signed(r[1])))
+    want = []
+    for (i, t), (_, after) in zip(turn, [*turn[1:], turn[0]], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = map(fingerprint_by_hand, (t, edited, after))
+        hexed = lambda x: "".join("-" * 8 if v is None else f"{v:08x}" for v in x)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), likeness_by_hand(a, b), likeness_by_hand(a, c)))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert next(r.near_next for r in got if r.doc_id == 90_000) > 0.9
+
+
+def test_buckets_of_one_id_are_cut(spark):
+    rows = [(None, f"no id {k}") for k in range(3000)] + [(k, f"text {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"text_hash": F.xxhash64("text"), "signatures": F.array(F.lit(1))})
+    after, _ = order_minhash.with_next(docs, 16)
+    assert max(r["count"] for r in after.groupBy("bucket").count().collect()) < 500
+
+
 def benchmark_rows():
     long = " ".join(f"t{k}" for k in range(20))
     return [(10, long), (9, "Short, ITEM here"), (9, "short item here"), (2, "solo"), (3, ""), (4, None), (None, "no id given"), (5, " ".join(["rep"] * 15)), (6, "É été x Y")]

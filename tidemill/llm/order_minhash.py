@@ -8,6 +8,7 @@ a signature where they share the selected k-mers in the same order, which edits
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from .common import partitions
 
 #: Words of a k-mer.
 K = 2
+#: Characters of a word on average, beyond which a text is read character by character.
+LONG_WORD = 24
 #: Signatures of a fingerprint; a power of two.
 SLOTS = 64
 #: k-mers of a signature.
@@ -38,7 +41,8 @@ def _at(values: Column, i: Column) -> Column:
 def fingerprint(text: Column, slots: int = SLOTS, k: int = K, size: int = TUPLE) -> Column:
     """The signatures of a text (array of ``slots`` ints; null where no k-mer falls).
 
-    Words stand between white space. A text of fewer than ``k`` words has one k-mer, all its
+    Words stand between white space; where they are longer than ``LONG_WORD`` characters on average,
+    as in scripts without spaces, each character is one. A text of fewer than ``k`` words has one k-mer, all its
     words; an empty one has none. Everything happens inside the row: no shuffle, and memory in
     proportion to the text. k-mers are told apart by 33 bits of hash; 31 bits hold the position.
     """
@@ -82,7 +86,9 @@ def fingerprint(text: Column, slots: int = SLOTS, k: int = K, size: int = TUPLE)
         return F.when(n > 0, full).otherwise(F.array_repeat(F.lit(None).cast("int"), slots))
 
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), of_words)
+    characters = F.filter(F.split(F.regexp_replace(text, r"\s+", ""), ""), lambda c: c != "")
+    units = _let(words, lambda w: F.when(F.char_length(text) > LONG_WORD * F.size(w), characters).otherwise(w))
+    return _let(F.transform(units, lambda w: F.xxhash64(w)), of_words)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,24 +110,37 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return F.aggregate(halves, F.lit(0), lambda low, step: F.when((low + step <= len(bounds)) & (F.get(padded, low + step - 1) <= value), low + step).otherwise(low))
 
 
-def with_next(rows: DataFrame, buckets: int) -> DataFrame:
-    """``rows`` (doc_id, text, text_hash, signatures) with next_text and next_signatures.
+def with_next(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc_id, text, text_hash, signatures) with ``bucket`` and ``next``, the text and signatures of
+    the next row in its bucket, and the first row of each bucket by the bucket before it.
 
-    The next row in ascending doc_id (null first), then text hash; after the last comes the
+    The next row is that in ascending doc_id (null first), then text hash; after the last comes the
     first. Rows are dealt to buckets of consecutive ids, with bounds from a one-pass sketch of all
-    ids; the last row of a bucket takes the first row of the next one from a table of as many
-    rows as there are buckets. Texts are shuffled once.
+    ids; a doc_id that fills several buckets is cut by its text hashes. The last row of a bucket
+    takes the first row of the next one from a table of as many rows as there are buckets. Texts
+    are shuffled once.
     """
     slim = rows.select("doc_id", "text_hash")
+    known = F.coalesce("doc_id", F.lit(_LEAST))
     shares = [(i + 1) / buckets for i in range(buckets - 1)]
-    found = slim.agg(F.percentile_approx(F.col("doc_id"), shares, F.lit(max(10_000, 20 * buckets)))).first()[0] if shares else []
-    bounds = sorted(set(found or []))
-    bucket = _bucket(F.coalesce("doc_id", F.lit(_LEAST)), bounds).alias("bucket")
+    found = slim.agg(F.percentile_approx(known, shares, F.lit(max(10_000, 20 * buckets)))).first()[0] if shares else []
+    times = Counter(found or [])
+    bounds = sorted(times)
+    # Rows of the k-th bound and up to the next one have times[k] buckets, those of the bound itself by hash.
+    starts, widths = [0], [1]
+    for value in bounds:
+        starts.append(starts[-1] + widths[-1])
+        widths.append(times[value])
+    lists = lambda x: F.array(*[F.lit(v) for v in x])
+    place = _bucket(known, bounds)
+    part = F.floor((F.col("text_hash").cast("double") / 2.0**64 + 0.5) * F.get(lists(widths), place)).cast("int")
+    part = F.when(known == F.get(lists([_LEAST, *bounds]), place), F.least(part, F.get(lists(widths), place) - 1)).otherwise(F.get(lists(widths), place) - 1)
+    bucket = (F.get(lists(starts), place) + F.greatest(part, F.lit(0))).alias("bucket")
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
     window = Window.partitionBy("bucket").orderBy(*order)
     after = rows.withColumn("bucket", bucket)
     after = after.withColumns({"next": F.lead(F.struct("text", "signatures")).over(window)})
-    heads = slim.withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    heads = slim.withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct(known.alias("known"), "text_hash", "doc_id")).alias("k"))
     every = Window.orderBy("bucket")
     last = F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select(F.coalesce(F.lag("bucket").over(every), last).alias("before"), F.col("k.doc_id").alias("head_id"), F.col("k.text_hash").alias("head_hash"))
