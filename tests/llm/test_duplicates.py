@@ -103,6 +103,23 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.similar_documents(docs.limit(0)).collect() == []
 
 
+def test_two_texts_of_one_id_both_link(spark):
+    rng = random.Random(15)
+    texts = {n: [f"{n}{rng.randrange(10**6)}" for _ in range(120)] for n in "ab"}
+    rows = [(5, " ".join(texts["a"])), (5, " ".join(texts["b"])), (7, edited(rng, texts["a"], 1)), (8, edited(rng, texts["b"], 1)), (3, "alone here now")]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 5), (5, 5), (7, 5), (8, 5)]
+
+
+def test_a_family_that_shares_much_and_links_nowhere_makes_no_pairs(spark, monkeypatch):
+    rng, made, old = random.Random(16), [], ngram_join._links
+    shared = " ".join(f"s{k}" for k in range(80))
+    rows = [(k, shared + " " + " ".join(f"o{rng.random()}" for _ in range(6))) for k in range(60)]
+    monkeypatch.setattr(ngram_join, "_links", lambda pairs, *rest: made.append(pairs.count()) or old(pairs, *rest))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.component_id for r in got) and sum(made) == 0
+
+
 def sentences(rng, n, tag):
     return [" ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(rng.randrange(9, 16))).capitalize() + "." for _ in range(n)]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh, new_path, shared_dir, staged
 
-__all__ = ["Recent", "column", "fresh", "held", "in_arrow", "near_rows", "new_path", "partitions", "rows_beside", "rows_of", "shared_dir", "slices", "staged", "texts_of", "utf8_bytes"]
+__all__ = ["Recent", "column", "fresh", "held", "near_rows", "new_path", "partitions", "rows_beside", "rows_of", "settled", "shared_dir", "slices", "staged", "texts_of", "utf8_bytes"]
 
 
 def texts_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -65,18 +65,10 @@ def utf8_bytes(c: Column) -> Column:
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
 
 
-#: Rows of an Arrow batch between Spark and Python, at most: texts can be long.
-BATCH_ROWS = 1_000
-_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` with small batches: lowers the session's setting to ``BATCH_ROWS`` where it
-    is larger."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCHES)) <= BATCH_ROWS:
-        conf.set(_BATCHES, str(BATCH_ROWS))
-    return df.mapInArrow(work, schema)
+def settled(docs: DataFrame) -> DataFrame:
+    """``docs``, written first if its rows come out of a shuffle: a task that is run again after a lost
+    executor must see its rows in the same order, since batches are told apart by their place."""
+    return staged(docs, "settled") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
 #: Rows of one Arrow slice, and so the texts that are Python objects at one time.

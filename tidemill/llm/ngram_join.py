@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, column, fresh, held, partitions, rows_beside, rows_of, slices, staged
+from .common import Recent, column, fresh, held, partitions, rows_beside, rows_of, settled, slices, staged
 from .components import components
 from .vertical import SENT, answer_batches, fragment_rows
 
@@ -151,7 +151,8 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
 
     Candidates share one of each other's rarest shingles, few enough to miss none. First each
     such shingle's sets are held against one of them, that with the fewest rarer shingles; then
-    against every one that isn't in the same component yet and not too far in size or order.
+    against every one that isn't in the same component yet and not too far in size or order,
+    which is first seen from the few distinct sizes and places that a shingle has.
     So a large group of near copies costs as many pairs as it has members, and no link between
     components is lost.
     """
@@ -175,6 +176,11 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
     several = placed.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     several = staged(several.select("h", F.col("main.component").alias("main")), "several")
     open_ = staged(placed.join(several, "h"), "open")
+    # Sets of one size and place are one profile; those whose profile fits none can't link by this shingle.
+    profiles = staged(open_.select("h", "n", "p").distinct(), "profiles")
+    others = profiles.select("h", F.col("n").alias("m"), F.col("p").alias("q"))
+    fitting = profiles.join(others, "h").where(_near_enough(percent, "n", "p", "m", "q")).select("h", "n", "p").distinct()
+    open_ = staged(open_.join(fitting, ["h", "n", "p"], "left_semi"), "fitting")
     left = open_.where(F.col("component") != F.col("main")).select("h", "doc", "n", "p", "component")
     right = open_.select("h", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("other"))
     rest = left.join(right, "h").where((F.col("component") != F.col("other")) & _near_enough(percent, "n", "p", "m", "q"))
@@ -193,21 +199,24 @@ def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -
     themselves. Every row returns once; an empty table returns none.
 
     Shingles are compared by 64 bits of hash, whole sets of equal rows by 128 bits: rows of equal
-    sets are one class, of which the smallest doc_id takes part.
+    sets are one class, which takes part as one.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(2 * partitions(docs), -(-int(size) // (6 * FRAGMENT_TOKENS)))
     rows = staged(_count_shared(slim, n, fragments), "rows")
     there = rows.where(F.col("n_shingles").cast("boolean") & F.col("doc_id").isNotNull())
-    classes = there.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("k"), F.max("n_shingles").alias("n"), F.max("unshared").alias("unshared"))
-    classes = staged(classes, "classes")
-    able = classes.where(100 * (F.col("n") - F.col("unshared")) >= percent * F.col("n")).select("doc", "set_a", "set_b", "n")
+    classes = there.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"), F.max("n_shingles").alias("n"), F.max("unshared").alias("unshared"))
+    classes = staged(classes.withColumn("doc", F.xxhash64("set_a", "set_b")), "classes")
+    able = classes.where(100 * (F.col("n") - F.col("unshared")) >= percent * F.col("n")).select("doc", "least", "set_a", "set_b", "n")
     able = staged(able, "able")
-    chosen = rows_of(slim, able.select(F.col("doc").alias("doc_id")), "doc_id")
-    sets = staged(_sets(chosen, n).join(able, ["doc", "set_a", "set_b"]).dropDuplicates(["doc"]).select("doc", "n", "tokens"), "sets")
+    chosen = rows_of(slim, able.select(F.col("least").alias("doc_id")), "doc_id")
+    sets = staged(_sets(chosen, n).drop("doc").join(able, ["set_a", "set_b"]).dropDuplicates(["doc"]).select("doc", "n", "tokens"), "sets")
     found = staged(link_components(sets, percent), "components")
-    copies = staged(classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"), "k", "doc").where((F.col("k") > 1) | (F.col("component") != F.col("doc"))), "copies")
+    heads = found.join(classes.select(F.col("doc").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("head"))
+    reached = staged(found.join(heads, "component").select(F.col("node").alias("doc"), "head"), "heads")
+    copies = classes.join(reached, "doc", "left").select("set_a", "set_b", F.coalesce("head", "least").alias("component"), "k", "least")
+    copies = staged(copies.where((F.col("k") > 1) | (F.col("component") != F.col("least"))), "copies")
     joined = rows.join(copies.select("set_a", "set_b", "component"), ["set_a", "set_b"], "left")
     linked = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", linked.alias("component_id"))
