@@ -122,3 +122,14 @@ def test_bpe(docs, ranks):
     both = {r.doc_id: r for r in byte_bpe.encode_and_decode(docs, RANKS).collect()}
     assert all(both[i].ids == back[i].ids and both[i].ids_sha256 == got[i].ids_sha256 and both[i].decoded_sha256 == got[i].decoded_sha256 for i in got)
     assert byte_bpe.round_trip(docs.limit(0), RANKS).collect() == []
+
+
+def test_int_ids_become_long(spark):
+    import public_tokenizers
+
+    from tidemill.llm import byte_bpe, token_counts
+
+    docs = spark.createDataFrame([(1, "some words"), (None, None)], "doc_id int, text string")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for out in (token_counts.count_report(docs, public_tokenizers.path("byte_bpe_50k.json")), byte_bpe.round_trip(docs, ranks), byte_bpe.encode_and_decode(docs, ranks)):
+        assert {r.doc_id for r in out.collect()} == {1, None} and dict(out.dtypes)["doc_id"] == "bigint"

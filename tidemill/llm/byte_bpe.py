@@ -200,7 +200,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
                 decoded.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
@@ -218,4 +218,4 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str = PATTERN) -> Dat
             columns += [pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()), pa.array([hashlib.sha256(bpe.decode(p)).hexdigest() for p in packed], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(both, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(both, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

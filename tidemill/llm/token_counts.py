@@ -128,8 +128,12 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", n_tokens: str =
 
 
 def count_report(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens)."""
-    slim = docs.select("doc_id", "text")
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens) of each whole text.
+
+    Null and empty texts have no bytes and no tokens; repeated rows and rows without doc_id are
+    counted each; an empty table gives no rows.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
