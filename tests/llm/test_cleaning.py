@@ -291,6 +291,16 @@ def test_quality(spark, sf_dir, odd):
     assert quality.quality_report(docs.limit(3), odd_labels).count() == 3
 
 
+def test_quality_fit_is_bounded(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    narrow = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    again = quality.fit_quality(narrow.unionAll(narrow), labels.withColumn("doc_id", F.col("doc_id").cast("int")))
+    assert np.array_equal(model.w, again.w) and np.array_equal(model.v, again.v) and model.w0 == again.w0
+    less = quality.fit_quality(docs, labels, fit_bytes=20_000)
+    assert not np.array_equal(model.w, less.w) and np.count_nonzero(less.w) < np.count_nonzero(model.w)
+
+
 def test_interactions_by_the_square_of_sums():
     rng = np.random.default_rng(1)
     size = quality.N_STATS + quality.BUCKETS

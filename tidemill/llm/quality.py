@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, column, fresh, held, slices
+from .common import Recent, column, fresh, held, slices, staged
 
 #: Buckets of hashed words.
 BUCKETS = 1 << 15
@@ -24,6 +24,8 @@ BUCKETS = 1 << 15
 RANK = 8
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 8_000
+#: Bytes of their texts, at most: with the rows, what bounds the features that the driver gets.
+FIT_BYTES = 64 << 20
 #: Score from which a document is taken as good.
 THRESHOLD = 0.7
 _MARKS = (b"!", b"?", b"|", b"*", b"$", b"#", b"&", b"%", b"<", b">", b"{", b"}", b"=", b"/", b"@", b".", b",", b"_")
@@ -126,15 +128,24 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FactorisationMachine:
-    """Fit the model on at most ``fit_rows`` labelled documents that aren't held out.
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> FactorisationMachine:
+    """Fit the model on at most ``fit_rows`` labelled documents of ``fit_bytes`` that aren't held out.
 
-    The rows are those of the smallest hash of doc_id, whatever the order of the tables. Rows
-    without doc_id or quality are left out; of several labels of a document the smallest counts.
+    The rows are those of the smallest hash of doc_id, whatever the order of the tables, up to both
+    bounds; each is read whole and counts ``2 * BUCKETS`` bytes at most, which no more features can
+    come from. Rows without doc_id or quality are left out; of several labels of a document the
+    smallest counts, and equal rows count once. Without any label each score is 0.5.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = staged(found.withColumn("text_hash", F.xxhash64("text")), "labelled")
+    size = F.least(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(2 * BUCKETS)).alias("size")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")]
+    # Of fit_rows narrow rows at most, so one task may add them up.
+    few = found.select("doc_id", "text_hash", size).distinct().orderBy(*order).limit(fit_rows)
+    few = few.withColumn("upto", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= fit_bytes)
+    found = found.join(F.broadcast(few.select("doc_id", "text_hash")), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
