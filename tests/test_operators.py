@@ -140,6 +140,11 @@ def test_interval_join_of_long_spans_has_few_cells(spark):
     assert got == {(x.i, y.j) for x in points for y in spans if x.at is not None and y.a is not None and y.a <= x.at < y.b}
 
 
+def test_integers_beyond_a_long_are_integers(spark):
+    df = spark.createDataFrame([(9.5e18, -1e20, 2.0**127, 1.5), (3.0, None, 1.0, 1e20)], "a double, b double, c double, d double")
+    assert rows(schema.integer_lint(df)) == [("a", 9.5e18), ("b", 1e20)]
+
+
 def test_fingerprint_tells_where_nulls_are(spark):
     a, b = (schema.fingerprint(spark.createDataFrame([r], "x long, y long")).first() for r in ((None, 1), (1, None)))
     assert a.n_rows == b.n_rows and a.hash_sum != b.hash_sum
