@@ -140,6 +140,26 @@ def test_interval_join_of_long_spans_has_few_cells(spark):
     assert got == {(x.i, y.j) for x in points for y in spans if x.at is not None and y.a is not None and y.a <= x.at < y.b}
 
 
+@pytest.mark.parametrize("by", [None, ["k"]])
+def test_interval_counts_are_those_of_the_pairs(spark, by):
+    p = spark.createDataFrame([("ab"[k % 2], k, float(k * 37 % 50 - 5)) for k in range(120)] + [("a", 200, None), (None, 201, 3.0), ("c", 202, 3.0), ("a", 203, 7.0), ("a", 204, -0.0), ("b", 205, float("nan"))], "k string, i long, at double")
+    s = spark.createDataFrame([("ab"[k % 2], float(k * 7 % 40), float(k * 7 % 40 + k % 9)) for k in range(80)] + [("a", None, 3.0), (None, 0.0, 9.0), ("b", 2.0, None), ("a", 0.0, 1.0), ("d", 1.0, 90.0), ("a", 9.0, 1.0)], "k string, a double, b double")
+    got = joins.interval_counts(p, s, "at", "a", "b", "n", by)
+    points, spans = p.collect(), s.collect()
+    known = lambda *x: all(v is not None for v in x)
+    want = [(x.k, x.i, x.at, sum(known(x.at, y.a, y.b) and y.a <= x.at < y.b and (by is None or (known(x.k) and x.k == y.k)) for y in spans)) for x in points]
+    assert got.columns == ["k", "i", "at", "n"] and [*map(str, rows(got))] == sorted(str(x) for x in want)
+
+
+def test_interval_counts_build_no_pair(spark, sf_dir, monkeypatch):
+    from tidemill.plans.queries import QUERIES
+
+    monkeypatch.setattr(joins, "interval_join", None)
+    p, s = (spark.range(20_000).selectExpr(*x) for x in (["id as i", "5.0d as at"], ["id as j", "0.0d as a", "9.0d as b"]))
+    assert rows(joins.interval_counts(p, s, "at", "a", "b", "n").groupBy("n").count()) == [(20_000, 20_000)]
+    assert QUERIES["join_interval"](spark, sf_dir).columns == ["p_partkey", "n"]
+
+
 def test_integers_beyond_a_long_are_integers(spark):
     df = spark.createDataFrame([(9.5e18, -1e20, 2.0**127, 1.5), (3.0, None, 1.0, 1e20)], "a double, b double, c double, d double")
     assert rows(schema.integer_lint(df)) == [("a", 9.5e18), ("b", 1e20)]
