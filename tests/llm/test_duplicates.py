@@ -291,6 +291,47 @@ def test_components_name_the_kept_document(spark):
     assert sorted((r.doc_id, r.first_word, r.n_words, tuple(r.sources)) for r in got) == [(k, 0, 90, (3,)) for k in (5, 7, 8, 9)]
 
 
+def test_passages_are_found_beside_smaller_documents_that_share_less(spark):
+    """Each paragraph of a passage also stands in a smaller document, which is like none of the others:
+    30 words of the passage, too few; of the first passages a document of their own repeats itself."""
+    rng = random.Random(23)
+    other = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(6):
+        passage = [f"p{k}y{j}z{rng.randrange(10**6)}" for j in range(60)]
+        rows += [(100 * k + j, " ".join(other(70) + passage[15 * j : 15 * j + 30] + other(70))) for j in range(3)]
+        if k < 2:
+            rows.append((100 * k + 10, " ".join(passage[:30] + other(70) + passage[15:45] + other(70) + passage[30:] + other(70) + passage)))
+        else:
+            rows.append((100 * k + 10, " ".join(other(20) + passage + other(20))))
+        rows += [(100 * k + 20 + j, " ".join(other(10 * j + 5) + passage + other(30))) for j in range(3)]
+        want |= {(100 * k + 20 + j, 10 * j + 5, 60, (100 * k + 10,)) for j in range(3)}
+    got = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.first_word, r.n_words, tuple(r.sources)) for r in got} == want
+
+
+def test_a_phrase_of_many_documents_builds_few_pairs(spark, monkeypatch):
+    rng = random.Random(24)
+    other = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    phrase = [f"p{k}" for k in range(28)]
+    rows = [(k, " ".join(other(60) + phrase + other(60))) for k in range(400)]
+    ends = other(30)
+    rows += [(1000 + k, " ".join(other(60) + phrase + ends[:2] + other(60))) for k in range(30)] + [(2000 + k, " ".join(other(60) + phrase + ends + other(60))) for k in range(30)]
+    rows += [(500, " ".join(other(60) + phrase[20:] + ends[:20])), (501, " ".join(ends[8:] + other(60)))]
+    held, staged = [], passages.staged
+
+    def counted(df, name="table"):
+        out = staged(df, name)
+        if name == "held":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "staged", counted)
+    got = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.first_word, r.n_words, tuple(r.sources)) for r in got} == {(2000 + k, 60, 58, (2000,)) for k in range(1, 30)}
+    assert held and sum(held) < 4 * len(rows)
+
+
 def test_passages_of_short_lines_and_of_scripts_without_spaces(spark):
     rng = random.Random(13)
     lines = "\n".join(" ".join(f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 5))) for _ in range(25))

@@ -4,13 +4,15 @@ A paragraph here is a stretch of ``WINDOW`` words whose place the words themselv
 same words are cut the same way wherever lines and sentences end. Bands of MinHashes tell which
 paragraphs collide, and each learns where the smallest doc_id has its like. Paragraphs that
 collide with one document side by side mark two regions, whose words are held against each other:
-what they share makes passages, verified by exact edit distance or Jaccard similarity. Verified
-passages are linked, and of each connected component the one of the smallest doc_id is kept.
+what they share makes passages, verified by exact edit distance or Jaccard similarity. Regions that
+are not settled by that are held against each other where they share words that the smallest doc_id
+lacks (``_rest``). Verified passages are linked, and of each connected component the one of the smallest doc_id is kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,19 @@ ROWS = 2
 #: Words around colliding paragraphs that are held against each other too; paragraphs that are
 #: further apart mark regions of their own.
 MARGIN = 48
+#: Words of a region of what a document repeats of itself, about, at most: few of those meet others.
+OWN = 128
 #: Keys of a fragment, about, at most, and words and documents of a batch.
 FRAGMENT_KEYS = 4_000_000
 BATCH_WORDS = 500_000
 BATCH_DOCS = 16_384
 #: Words of passages that are compared at once.
 PIECE = 2_000
+#: What holding two regions against each other showed: no stretch that shared shingles cover, one
+#: that is not alike, or only such as are.
+SOFT, HARD, LINKED = 0, 2, 1
+#: Regions of a shingle, at most, that are held against all others of it at once.
+FEW = 8
 
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -94,13 +103,13 @@ def paragraph_keys(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
     return at, np.array(keys, np.uint64).reshape(BANDS, len(at))
 
 
-def _regions(row: np.ndarray, at: np.ndarray, source: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
+def _regions(row: np.ndarray, at: np.ndarray, source: np.ndarray, there: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
     """Row, first and last paragraph, source, first and last paragraph there, of paragraphs of one row and
-    source that lie side by side in both."""
+    source that lie side by side in both; those of its ``own`` document are cut at each ``OWN`` words."""
     order = np.lexsort((at, source, row))
-    row, at, source, there = row[order], at[order], source[order], there[order]
+    row, at, source, there, own = row[order], at[order], source[order], there[order], own[order]
     new = np.ones(len(row), bool)
-    new[1:] = (np.diff(row) > 0) | (np.diff(source) != 0) | (np.diff(at) > MARGIN) | (np.abs(np.diff(there - at)) > MARGIN)
+    new[1:] = (own[1:] & (np.diff(at // OWN) != 0)) | (np.diff(row) > 0) | (np.diff(source) != 0) | (np.diff(at) > MARGIN) | (np.abs(np.diff(there - at)) > MARGIN)
     begins = np.flatnonzero(new)
     if not len(begins):
         return row, at, at, source, there, there
@@ -108,7 +117,7 @@ def _regions(row: np.ndarray, at: np.ndarray, source: np.ndarray, there: np.ndar
     return row[begins], at[begins], at[ends], source[begins], np.minimum.reduceat(there, begins), np.maximum.reduceat(there, begins)
 
 
-CANDIDATES = "doc_id long, text_hash long, low int, high int, source long, source_low int, source_high int"
+CANDIDATES = "doc_id long, text_hash long, low int, high int, source long, source_low int, source_high int, at int, to int, there int, there_to int"
 
 
 def candidates(docs: DataFrame, fragments: int) -> DataFrame:
@@ -182,12 +191,16 @@ def candidates(docs: DataFrame, fragments: int) -> DataFrame:
         least = np.repeat(np.minimum.reduceat(owners[order], begins), np.diff(np.append(begins, len(keys))))
         mine = least == owners[order]
         spot = np.minimum.reduceat(np.where(mine, offsets[order], np.uint32(0xFFFFFFFF)), begins)
+        repeated = np.zeros(len(keys), bool)
+        heads = np.minimum.reduceat(np.where(mine & (offsets[order] == np.repeat(spot, np.diff(np.append(begins, len(keys))))), np.arange(len(keys)), len(keys)), begins)
+        repeated[order] = mine
+        repeated[order[heads]] = False
         source, place = np.empty(len(keys), np.int64), np.empty(len(keys), np.uint32)
         source[order], place[order] = least, np.repeat(spot, np.diff(np.append(begins, len(keys))))
         out, begin = [], 0
         for size, r in zip(sizes, ranks, strict=True):
             here = slice(begin, begin + size)
-            hit = source[here] < owners[here]
+            hit = (source[here] < owners[here]) | repeated[here]
             out.append((np.packbits(hit).tobytes(), r[hit].tobytes(), offsets[here][hit].astype("<u4").tobytes(), source[here][hit].astype("<i8").tobytes(), place[here][hit].astype("<u4").tobytes()))
             begin += size
         names = ["shared", "ranks", "offsets", "sources", "places"]
@@ -209,15 +222,17 @@ def candidates(docs: DataFrame, fragments: int) -> DataFrame:
         answered = mask[entry]
         more_source, more_place = ids[row[lead], 0], at[lead] - begins[row[lead]]
         more_source[answered], more_place[answered] = source[known[entry[answered]]], place[known[entry[answered]]]
-        rest = np.flatnonzero(~first & (more_source < ids[row, 0]))
-        cut = _regions(np.append(rank, row[rest]), np.append(offset, (at - begins[row])[rest]), np.append(source, more_source[rest]), np.append(place, more_place[rest]))
+        rest = np.flatnonzero(~first & (more_source <= ids[row, 0]))
+        held, source = np.append(rank, row[rest]), np.append(source, more_source[rest])
+        cut = _regions(held, np.append(offset, (at - begins[row])[rest]), source, np.append(place, more_place[rest]), source == ids[held, 0])
         row, low, high, source, there_low, there_high = cut
+        core = [pa.array(x.astype(np.int32)) for x in (low, high, there_low, there_high)]
         low, high = np.maximum(low - MARGIN, 0), np.minimum(high + WINDOW + MARGIN, sizes[row])
         # Borders on a grid: documents that repeat the same passage ask for the same region.
         there_low = np.maximum(there_low - MARGIN, 0) // WINDOW * WINDOW
         there_high = -(-(there_high + WINDOW + MARGIN) // WINDOW) * WINDOW
         numbers = [pa.array(x.astype(np.int32)) for x in (low, high, there_low, there_high)]
-        return pa.table({"doc_id": ids[row, 0], "text_hash": ids[row, 1], "low": numbers[0], "high": numbers[1], "source": source, "source_low": numbers[2], "source_high": numbers[3]})
+        return pa.table({"doc_id": ids[row, 0], "text_hash": ids[row, 1], "low": numbers[0], "high": numbers[1], "source": source, "source_low": numbers[2], "source_high": numbers[3], **dict(zip(("at", "to", "there", "there_to"), core, strict=True))})
 
     sent = docs.mapInArrow(send, "fragment long, batch long, keys binary, ranks binary, offsets binary, used binary, ids binary")
     answered = sent.groupBy("fragment").applyInArrow(answer, "batch long, fragment long, entries int, shared binary, ranks binary, offsets binary, sources binary, places binary")
@@ -272,17 +287,44 @@ def shared_passages(mine: np.ndarray, other: np.ndarray, passage_words: int, per
 
     A passage whose words stand in ``other`` in another order is tried in parts that keep theirs.
     """
-    if min(len(mine), len(other)) < max(WORDS, passage_words * percent // 100):
-        return []
-    a, b = (shingles_of(x.astype(np.uint64))[: len(x) - WORDS + 1] for x in (mine, other))
+    return _passages(mine, other, _shared(mine, other), passage_words, percent)[0]
+
+
+def _shared(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of words ``mine``, which of them ``other`` has, and where it has those first."""
+    a, b = (shingles_of(x.astype(np.uint64))[: max(len(x) - WORDS + 1, 0)] for x in (mine, other))
+    if not len(a) or not len(b):
+        return a, np.zeros(0, np.int64), np.zeros(0, np.int64)
     known, where = np.unique(b, return_index=True)
     at = np.minimum(np.searchsorted(known, a), len(known) - 1)
     starts = np.flatnonzero(known[at] == a)
+    return a, starts, where[at[starts]]
+
+
+def _beyond(shared: tuple[np.ndarray, np.ndarray, np.ndarray], shifts: list[int] | None) -> np.ndarray:
+    """The shingles (32 bits) that another text may have in common beside ``shared`` ones: all that begin
+    no more than ``GAP`` words off them and are not shared, or, with ``shifts``, not at about the same place."""
+    a, starts, there = shared
+    reach = np.zeros(len(a) + 1, np.int64)
+    np.add.at(reach, np.maximum(starts - GAP - WORDS, 0), 1)
+    np.add.at(reach, np.minimum(starts + GAP + WORDS + 1, len(a)), -1)
+    fresh_ = np.cumsum(reach[:-1]) > 0
+    fresh_[starts if shifts is None else starts[(there - starts >= shifts[0] - GAP) & (there - starts <= shifts[1] + GAP)]] = False
+    return np.unique((a[fresh_] >> np.uint64(32)).astype("<u4").view("<i4"))
+
+
+def _passages(mine: np.ndarray, other: np.ndarray, shared: tuple[np.ndarray, np.ndarray, np.ndarray], passage_words: int, percent: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """The passages, and how far that settles the pair: ``SOFT``, ``HARD`` or ``LINKED``."""
+    a, starts, there = shared
+    if min(len(mine), len(other)) < max(WORDS, passage_words * percent // 100):
+        return [], SOFT
+    places = np.zeros(len(a), np.int64)
+    places[starts] = there
 
     def aligned(first: int, last: int, i: np.ndarray) -> list[tuple[int, int, int, int]]:
         if len(np.unique(a[i])) <= WORDS:
             return []
-        j = where[at[i]]
+        j = places[i]
         near = np.abs(j - i - np.sort(j - i)[len(i) // 2]) <= GAP + (last - first) * (100 - percent) // 100
         i, j = i[near], j[near]
         begin, end = int(j.min()), int(j.max()) + WORDS
@@ -292,36 +334,101 @@ def shared_passages(mine: np.ndarray, other: np.ndarray, passage_words: int, per
     def inside(first: int, last: int, i: np.ndarray) -> np.ndarray:
         return i[np.searchsorted(i, first) : np.searchsorted(i, last - WORDS, "right")]
 
-    out = []
+    out, state = [], SOFT
     for first, last in covered_spans(starts, passage_words, percent):
         i = inside(first, last, starts)
+        if len(np.unique(a[i])) <= WORDS:
+            continue
         whole = aligned(first, last, i)
+        state = max(state, LINKED if whole else HARD)
         if not whole:
-            shift = where[at[i]] - i
+            shift = places[i] - i
             order = np.argsort(shift, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(shift[order]) > GAP) + 1):
                 mine_only = np.sort(i[part])
                 for x, y in covered_spans(mine_only, passage_words, percent):
                     whole += aligned(x, y, inside(x, y, mine_only))
         out += whole
-    return out
+    return out, state
 
 
 def _verified(pairs: DataFrame, passage_words: int, percent: int) -> DataFrame:
-    """The passages (first and last word) of both regions of each pair that are alike."""
+    """Each pair of regions (of ``row`` and ``leader``) with the passages that are alike, the state of the
+    pair, and the shingles by which the row may be like others that were held against the same leader."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc_id", "text_hash", "low", "words", "source", "source_hash", "source_low", "source_words")
+        names = ("doc_id", "text_hash", "low", "words", "source", "source_hash", "source_low", "source_words", "row", "leader", "at", "to", "there", "there_to")
         for batch in slices(batches):
             out = []
-            for doc_id, text_hash, low, words, source, source_hash, source_low, there in zip(*(column(batch, c).to_pylist() for c in names), strict=True):
-                for first, last, begin, end in shared_passages(np.frombuffer(words, "<u4"), np.frombuffer(there, "<u4"), passage_words, percent):
-                    out.append((doc_id, text_hash, low + first, low + last, source, source_hash, source_low + begin, source_low + end))
+            for doc_id, text_hash, low, words, source, source_hash, source_low, there, row, leader, at, to, begin, end in zip(*(column(batch, c).to_pylist() for c in names), strict=True):
+                words, there = np.frombuffer(words, "<u4"), np.frombuffer(there, "<u4")
+                shared = _shared(words, there)
+                found, state = ([], SOFT) if doc_id == source else _passages(words, there, shared, passage_words, percent)
+                links = [{"first": low + f[0], "last": low + f[1], "source_first": source_low + f[2], "source_last": source_low + f[3]} for f in found]
+                shifts = None if at is None else sorted((begin - at + low - source_low, end - to + low - source_low))
+                out.append((doc_id, text_hash, source, source_hash, row, leader, begin, end, state, links, _beyond(shared, shifts)))
+            kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [ pa.list_(pa.struct([(c, pa.int32()) for c in ("first", "last", "source_first", "source_last")])), pa.list_(pa.int32())]
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text_hash", "first", "last", "source", "source_hash", "source_first", "source_last"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text_hash", "source", "source_hash", "row", "leader", "there", "there_to", "state", "links", "beyond"])
+
+    return pairs.mapInArrow(make, "doc_id long, text_hash long, source long, source_hash long, row long, leader long, there int, there_to int, state int, links array<struct<first:int,last:int,source_first:int,source_last:int>>, beyond array<int>")
+
 
-    return pairs.mapInArrow(make, "doc_id long, text_hash long, first int, last int, source long, source_hash long, source_first int, source_last int")
+def _rest(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """row, head of the pairs of regions that may still be alike after each was ``held`` against its leader:
+    those that decide about others, and those that are all of theirs.
+
+    If a passage of two regions were made of shingles that the leader shares, it would have been seen
+    there; so regions that were not like it (``SOFT``) can only be like those that also share one of
+    the others, the nearest of which to what the leader shares is no more than ``GAP`` words off. Of such a
+    shingle's regions all pairs are taken, unless more than ``FEW`` are soft: then each is held against the
+    first of them, which leads those that go on.
+    """
+    group = Window.partitionBy("leader", "shingle")
+    posts = held.select("leader", F.explode("beyond").alias("shingle"), "doc_id", "row", "state")
+    posts = posts.withColumns({"n": F.count("*").over(group), "n_soft": F.count(F.when(F.col("state") == SOFT, 1)).over(group), "head": F.min(F.struct("doc_id", "row")).over(group)})
+    posts = staged(posts.where((F.col("n") > 1) & (F.col("n_soft") > 0)), "groups")
+    many = posts.where((F.col("n_soft") > FEW) & (F.col("row") != F.col("head.row"))).select("row", F.col("head.row").alias("head")).distinct()
+    few = posts.where(F.col("n_soft") <= FEW).select("leader", "shingle", "doc_id", "row", "state")
+    soft = few.where(F.col("state") == SOFT).select("leader", "shingle", F.col("doc_id").alias("soft_id"), F.col("row").alias("soft"))
+    both = few.join(soft, ["leader", "shingle"]).where((F.col("doc_id") != F.col("soft_id")) & ((F.col("state") != SOFT) | (F.col("doc_id") > F.col("soft_id"))))
+    mine = F.col("doc_id") > F.col("soft_id")
+    both = both.select(F.when(mine, F.col("row")).otherwise(F.col("soft")).alias("row"), F.when(mine, F.col("soft")).otherwise(F.col("row")).alias("head")).distinct()
+    return many, both
+
+
+def _hard(held: DataFrame) -> DataFrame:
+    """row, head of the pairs of regions of one leader of which one shares a passage's shingles with it in another order."""
+    hard = held.where(F.col("state") == HARD).select("leader", "doc_id", "row", "there", "there_to")
+    other = held.where(F.col("state") != SOFT).select("leader", F.col("doc_id").alias("other_id"), F.col("row").alias("other"), "state", F.col("there").alias("from"), F.col("there_to").alias("up_to"))
+    meet = F.coalesce((F.col("there") <= F.col("up_to")) & (F.col("from") <= F.col("there_to")), F.lit(True))
+    both = hard.join(other, "leader").where(meet & (F.col("doc_id") != F.col("other_id")) & ((F.col("state") != HARD) | (F.col("doc_id") > F.col("other_id"))))
+    mine = F.col("doc_id") > F.col("other_id")
+    return both.select(F.when(mine, F.col("row")).otherwise(F.col("other")).alias("row"), F.when(mine, F.col("other")).otherwise(F.col("row")).alias("head")).distinct()
+
+
+def _all_links(first: DataFrame, words: DataFrame, passage_words: int, percent: int) -> DataFrame:
+    """The links of the pairs ``first`` and of all others of their regions ``words`` that may be alike."""
+
+    def held_against(pairs: DataFrame) -> DataFrame:
+        mine = words.select("doc_id", "text_hash", "low", "words", "row")
+        there = words.select(F.col("doc_id").alias("source"), F.col("text_hash").alias("source_hash"), F.col("low").alias("source_low"), F.col("words").alias("source_words"), F.col("row").alias("head"))
+        both = pairs.join(mine, "row").join(there, "head").withColumn("leader", F.col("head"))
+        return _verified(both.withColumns({c: F.lit(None).cast("int") for c in ("at", "to", "there", "there_to")}), passage_words, percent)
+
+    held = staged(_verified(first, passage_words, percent), "held")
+    tried, last = [held], []
+    while True:
+        many, few = _rest(held)
+        last += [staged(_hard(held), "hard"), staged(few, "few")]
+        many = staged(many, "many")
+        if not many.take(1):
+            break
+        held = staged(held_against(many), "held")
+        tried.append(held)
+    tried.append(staged(held_against(reduce(DataFrame.unionAll, last).distinct()), "last"))
+    links = [t.select("doc_id", "text_hash", "source", "source_hash", F.inline("links")).distinct() for t in tried]
+    return reduce(DataFrame.unionAll, links).distinct()
 
 
 def _copied(docs: DataFrame, passage_words: int) -> DataFrame:
@@ -421,12 +528,17 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, perce
 
     wide = candidates(slim, fragments).join(copies, ["doc_id", "text_hash"], "left_anti").distinct()
     wide = staged(wide.where(F.col("high") - F.col("low") >= passage_words), "candidates")
+    # What a document repeats of itself counts where others have it too.
+    own, foreign = wide.where("doc_id = source"), wide.where("doc_id != source")
+    met = foreign.select(F.col("source").alias("doc_id"), F.col("there").alias("from"), F.col("there_to").alias("up_to")).distinct()
+    shared = own.join(met, (own["doc_id"] == met["doc_id"]) & (F.col("there") <= F.col("up_to")) & (F.col("from") <= F.col("there_to")), "left_semi")
+    wide = foreign.unionByName(staged(shared, "own"))
     wanted = wide.select("doc_id", "low", "high").unionByName(wide.select(F.col("source").alias("doc_id"), F.col("source_low").alias("low"), F.col("source_high").alias("high"))).distinct()
     wanted = staged(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("wanted")), "wanted")
-    words = staged(_region_words(near_rows(slim, wanted, "doc_id").join(wanted, "doc_id")).distinct(), "regions")
+    words = staged(_region_words(near_rows(slim, wanted, "doc_id").join(wanted, "doc_id")).distinct().withColumn("row", F.xxhash64("doc_id", "text_hash", "low", "high")), "regions")
     there = words.select(*[F.col(c).alias(n) for c, n in (("doc_id", "source"), ("text_hash", "source_hash"), ("low", "source_low"), ("high", "source_high"), ("words", "source_words"))])
     pairs = wide.join(words, ["doc_id", "text_hash", "low", "high"]).join(there, ["source", "source_low", "source_high"])
-    links = staged(_verified(pairs, passage_words, percent), "links")
+    links = staged(_all_links(pairs.withColumn("leader", F.col("source")), words, passage_words, percent), "links")
 
     first_ids = firsts.select(F.col("first_id").alias("doc_id"), "text_hash")
     whole = staged(_copied(near_rows(slim, first_ids, "doc_id").join(first_ids, ["doc_id", "text_hash"], "left_semi"), passage_words).dropDuplicates(["doc_id", "text_hash"]), "whole")
