@@ -332,6 +332,42 @@ def test_a_phrase_of_many_documents_builds_few_pairs(spark, monkeypatch):
     assert held and sum(held) < 4 * len(rows)
 
 
+def test_shingles_of_the_same_documents_make_one_group(spark, monkeypatch):
+    rng = random.Random(25)
+    other = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    phrase, ends = [f"p{k}" for k in range(28)], other(30)
+    rows = [(k, " ".join(other(60) + phrase + other(60))) for k in range(3)] + [(10 + k, " ".join(other(60) + phrase + ends + other(60))) for k in range(7)]
+    made, staged = [], passages.staged
+
+    def counted(df, name="table"):
+        out = staged(df, name)
+        if name == "groups":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "staged", counted)
+    got = passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.first_word, r.n_words, tuple(r.sources)) for r in got} == {(10 + k, 60, 58, (10,)) for k in range(1, 7)}
+    assert 7 <= sum(made) <= 3 * len(rows)
+
+
+def test_pairs_held_together_are_as_each_alone():
+    rng = np.random.default_rng(26)
+    mine = [rng.integers(0, 50, n).astype("<u4") for n in (0, 3, 5, 90, 140, 4, 70)]
+    there = [np.concatenate([rng.integers(60, 90, 9), x[len(x) // 3 :], x[:9]]).astype("<u4") for x in mine]
+    there[3] = there[3][:0]
+    low, high = np.array([-np.inf, 0, -40, -np.inf, -30, 0, 5]), np.array([np.inf, 0, 0, np.inf, -25, 0, 5])
+    begins, a, whole, starts, places = passages._shared_of(mine, there)
+    beyond = passages._beyond(begins, a, whole, starts, places, low, high).to_pylist()
+    for k, edges in enumerate(zip(begins, np.append(begins[1:], len(a)), strict=True)):
+        shingles, at, to = passages._shared(mine[k], there[k])
+        here = (starts >= edges[0]) & (starts < edges[1])
+        assert (starts[here] - edges[0]).tolist() == at.tolist() and places[here].tolist() == to.tolist()
+        near = {i for x in at for i in range(max(x - units.GAP - units.WORDS, 0), min(x + units.GAP + units.WORDS + 1, len(shingles)))}
+        same = {int(x) for x, y in zip(at, to, strict=True) if low[k] - units.GAP <= y - x <= high[k] + units.GAP}
+        assert set(beyond[k]) == {int(np.int32(np.uint32(int(shingles[i]) >> 32).view(np.int32))) for i in near - same} and len(set(beyond[k])) == len(beyond[k])
+
+
 def test_passages_of_short_lines_and_of_scripts_without_spaces(spark):
     rng = random.Random(13)
     lines = "\n".join(" ".join(f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 5))) for _ in range(25))

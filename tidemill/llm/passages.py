@@ -6,7 +6,7 @@ paragraphs collide, and each learns where the smallest doc_id has its like. Para
 collide with one document side by side mark two regions, whose words are held against each other:
 what they share makes passages, verified by exact edit distance or Jaccard similarity. Regions that
 are not settled by that are held against each other where they share words that the smallest doc_id
-lacks (``_rest``). Verified passages are linked, and of each connected component the one of the smallest doc_id is kept.
+lacks (``_groups``). Verified passages are linked, and of each connected component the one of the smallest doc_id is kept.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ PIECE = 2_000
 #: What holding two regions against each other showed: no stretch that shared shingles cover, one
 #: that is not alike, or only such as are.
 SOFT, HARD, LINKED = 0, 2, 1
-#: Regions of a shingle, at most, that are held against all others of it at once.
+#: Soft regions of a key, at most, that are held against all others of it at once.
 FEW = 8
 
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -240,19 +240,20 @@ def candidates(docs: DataFrame, fragments: int) -> DataFrame:
 
 
 def _region_words(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, low, high, words of each region in ``wanted`` of ``docs``; a word is 32 bits of hash."""
+    """doc_id, text_hash, low, high, words of each region in ``wanted`` of ``docs``, and on which sides of
+    pairs it stands (``led``, ``own``); a word is 32 bits of hash."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             out = []
             for doc_id, text_hash, text, wanted in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text_hash", "text", "wanted")), strict=True):
                 words = (hashes_of(units_of(text)) >> np.uint64(32)).astype("<u4")
-                out += [(doc_id, text_hash, r["low"], r["high"], words[r["low"] : r["high"]].tobytes()) for r in wanted]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                out += [(doc_id, text_hash, r["low"], r["high"], words[r["low"] : r["high"]].tobytes(), r["led"], r["own"]) for r in wanted]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text_hash", "low", "high", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text_hash", "low", "high", "words", "led", "own"])
 
-    return docs.mapInArrow(make, "doc_id long, text_hash long, low int, high int, words binary")
+    return docs.mapInArrow(make, "doc_id long, text_hash long, low int, high int, words binary, led boolean, own boolean")
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int, pairs: list[tuple[int, int]] = ()) -> bool:
@@ -301,16 +302,41 @@ def _shared(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a, starts, where[at[starts]]
 
 
-def _beyond(shared: tuple[np.ndarray, np.ndarray, np.ndarray], shifts: list[int] | None) -> np.ndarray:
-    """The shingles (32 bits) that another text may have in common beside ``shared`` ones: all that begin
-    no more than ``GAP`` words off them and are not shared, or, with ``shifts``, not at about the same place."""
-    a, starts, there = shared
-    reach = np.zeros(len(a) + 1, np.int64)
-    np.add.at(reach, np.maximum(starts - GAP - WORDS, 0), 1)
-    np.add.at(reach, np.minimum(starts + GAP + WORDS + 1, len(a)), -1)
-    fresh_ = np.cumsum(reach[:-1]) > 0
-    fresh_[starts if shifts is None else starts[(there - starts >= shifts[0] - GAP) & (there - starts <= shifts[1] + GAP)]] = False
-    return np.unique((a[fresh_] >> np.uint64(32)).astype("<u4").view("<i4"))
+def _shared_of(mine: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """``_shared`` of each pair of words of a batch, laid end to end: where the words ``mine`` of each pair
+    begin, the shingle from each word on, whether one begins there, the words at which shared ones begin,
+    and where the other has those first, from its own begin on."""
+    sizes, sizes_there = (np.array([len(x) for x in side], np.int64) for side in (mine, other))
+    pair, pair_there = (np.repeat(np.arange(len(n)), n) for n in (sizes, sizes_there))
+    begins, begins_there = np.cumsum(sizes) - sizes, np.cumsum(sizes_there) - sizes_there
+    a, b = (shingles_of(np.concatenate(side).astype(np.uint64)) for side in (mine, other))
+    whole = np.arange(len(a)) + WORDS <= (begins + sizes)[pair]
+    at = np.flatnonzero(np.arange(len(b)) + WORDS <= (begins_there + sizes_there)[pair_there])
+    apart = np.arange(len(mine), dtype=np.uint64) * _SEEDS[0]
+    known = b[at] ^ apart[pair_there[at]]
+    order = np.argsort(known, kind="stable")
+    known, at = known[order], at[order]
+    found = np.searchsorted(known, a ^ apart[pair])
+    hit = np.flatnonzero(whole & (found < len(known)))
+    hit = hit[known[found[hit]] == (a ^ apart[pair])[hit]]
+    return begins, a, whole, hit, at[found[hit]] - begins_there[pair[hit]]
+
+
+def _beyond(begins: np.ndarray, a: np.ndarray, whole: np.ndarray, starts: np.ndarray, there: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.ListArray:
+    """For each pair of a batch (``_shared_of``) the shingles (32 bits) that another text may have in common beside
+    shared ones: all that begin no more than ``GAP`` words off them and are not shared at about the same place,
+    of shifts from ``least`` to ``most``."""
+    sizes = np.diff(np.append(begins, len(a)))
+    pair = np.repeat(np.arange(len(begins)), sizes)
+    mine = pair[starts]
+    reach = np.bincount(np.maximum(starts - GAP - WORDS, begins[mine]), minlength=len(a) + 1)
+    reach -= np.bincount(np.minimum(starts + GAP + WORDS + 1, (begins + sizes)[mine]), minlength=len(a) + 1)
+    fresh_ = whole & (np.cumsum(reach[:-1]) > 0)
+    shift = there - starts + begins[mine]
+    fresh_[starts[(shift >= least[mine] - GAP) & (shift <= most[mine] + GAP)]] = False
+    known = np.unique(pair[fresh_].astype(np.uint64) << np.uint64(32) | a[fresh_] >> np.uint64(32))
+    edges = np.searchsorted(known, np.arange(len(begins) + 1, dtype=np.uint64) << np.uint64(32))
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array((known & _LOW).astype("<u4").view("<i4")))
 
 
 def _passages(mine: np.ndarray, other: np.ndarray, shared: tuple[np.ndarray, np.ndarray, np.ndarray], passage_words: int, percent: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -357,44 +383,52 @@ def _verified(pairs: DataFrame, passage_words: int, percent: int) -> DataFrame:
     pair, and the shingles by which the row may be like others that were held against the same leader."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc_id", "text_hash", "low", "words", "source", "source_hash", "source_low", "source_words", "row", "leader", "at", "to", "there", "there_to")
         for batch in slices(batches):
-            out = []
-            for doc_id, text_hash, low, words, source, source_hash, source_low, there, row, leader, at, to, begin, end in zip(*(column(batch, c).to_pylist() for c in names), strict=True):
-                words, there = np.frombuffer(words, "<u4"), np.frombuffer(there, "<u4")
-                shared = _shared(words, there)
-                found, state = ([], SOFT) if doc_id == source else _passages(words, there, shared, passage_words, percent)
-                links = [{"first": low + f[0], "last": low + f[1], "source_first": source_low + f[2], "source_last": source_low + f[3]} for f in found]
-                shifts = None if at is None else sorted((begin - at + low - source_low, end - to + low - source_low))
-                out.append((doc_id, text_hash, source, source_hash, row, leader, begin, end, state, links, _beyond(shared, shifts)))
-            kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [ pa.list_(pa.struct([(c, pa.int32()) for c in ("first", "last", "source_first", "source_last")])), pa.list_(pa.int32())]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text_hash", "source", "source_hash", "row", "leader", "there", "there_to", "state", "links", "beyond"])
+            ids, sources, low, source_low, at, to, begin, end = (column(batch, c).to_pylist() for c in ("doc_id", "source", "low", "source_low", "at", "to", "there", "there_to"))
+            words, there = ([np.frombuffer(x, "<u4") for x in column(batch, c).to_pylist()] for c in ("words", "source_words"))
+            begins, a, whole, starts, places = _shared_of(words, there)
+            shifts = np.array([(-np.inf, np.inf) if at[k] is None else sorted((begin[k] - at[k] + low[k] - source_low[k], end[k] - to[k] + low[k] - source_low[k])) for k in range(len(ids))])
+            beyond = _beyond(begins, a, whole, starts, places, shifts[:, 0], shifts[:, 1])
+            # A passage is covered to ``percent``: pairs of fewer shared words, most of them, have none.
+            cover = np.bincount(starts, minlength=len(a) + 1) - np.bincount(np.minimum(starts + WORDS, len(a)), minlength=len(a) + 1)
+            covered = np.append(0, np.cumsum(np.cumsum(cover[:-1]) > 0))
+            edges = np.append(begins, len(a))
+            firsts = np.searchsorted(starts, edges)
+            links, states = [[]] * len(ids), [SOFT] * len(ids)
+            for k in np.flatnonzero(100 * np.diff(covered[edges]) >= percent * passage_words):
+                if ids[k] != sources[k]:
+                    here, low_, source = slice(firsts[k], firsts[k + 1]), low[k], source_low[k]
+                    found, states[k] = _passages(words[k], there[k], (a[edges[k] : edges[k + 1]], starts[here] - edges[k], places[here]), passage_words, percent)
+                    links[k] = [{"first": low_ + f[0], "last": low_ + f[1], "source_first": source + f[2], "source_last": source + f[3]} for f in found]
+            kinds = pa.list_(pa.struct([(c, pa.int32()) for c in ("first", "last", "source_first", "source_last")]))
+            kept = ["doc_id", "text_hash", "source", "source_hash", "row", "leader", "there", "there_to"]
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in kept], pa.array(states, pa.int32()), pa.array(links, kinds), beyond], names=[*kept, "state", "links", "beyond"])
 
     return pairs.mapInArrow(make, "doc_id long, text_hash long, source long, source_hash long, row long, leader long, there int, there_to int, state int, links array<struct<first:int,last:int,source_first:int,source_last:int>>, beyond array<int>")
 
 
-def _rest(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """row, head of the pairs of regions that may still be alike after each was ``held`` against its leader:
-    those that decide about others, and those that are all of theirs.
+def _groups(held: DataFrame) -> DataFrame:
+    """key, doc_id, row, state, n_soft, head of the regions that may still be alike after each was ``held`` against
+    its leader: all of a key are, as far as one of a pair is ``SOFT``.
 
     If a passage of two regions were made of shingles that the leader shares, it would have been seen
     there; so regions that were not like it (``SOFT``) can only be like those that also share one of
-    the others, the nearest of which to what the leader shares is no more than ``GAP`` words off. Of such a
-    shingle's regions all pairs are taken, unless more than ``FEW`` are soft: then each is held against the
-    first of them, which leads those that go on.
+    the others, the nearest of which to what the leader shares is no more than ``GAP`` words off. Shingles
+    in a row mostly have the same regions: such groups are one.
     """
-    group = Window.partitionBy("leader", "shingle")
-    posts = held.select("leader", F.explode("beyond").alias("shingle"), "doc_id", "row", "state")
-    posts = posts.withColumns({"n": F.count("*").over(group), "n_soft": F.count(F.when(F.col("state") == SOFT, 1)).over(group), "head": F.min(F.struct("doc_id", "row")).over(group)})
-    posts = staged(posts.where((F.col("n") > 1) & (F.col("n_soft") > 0)), "groups")
-    many = posts.where((F.col("n_soft") > FEW) & (F.col("row") != F.col("head.row"))).select("row", F.col("head.row").alias("head")).distinct()
-    few = posts.where(F.col("n_soft") <= FEW).select("leader", "shingle", "doc_id", "row", "state")
-    soft = few.where(F.col("state") == SOFT).select("leader", "shingle", F.col("doc_id").alias("soft_id"), F.col("row").alias("soft"))
-    both = few.join(soft, ["leader", "shingle"]).where((F.col("doc_id") != F.col("soft_id")) & ((F.col("state") != SOFT) | (F.col("doc_id") > F.col("soft_id"))))
+    group = Window.partitionBy("key")
+    posts = held.select(F.explode("beyond").alias("shingle"), "leader", "doc_id", "row", "state").select(F.xxhash64("leader", "shingle").alias("key"), "doc_id", "row", "state")
+    of = {"n": F.count("*"), "n_soft": F.count(F.when(F.col("state") == SOFT, 1)), "head": F.min(F.struct("doc_id", "row")), "sum": F.sum(F.shiftrightunsigned(F.xxhash64("row", "state"), 32))}
+    posts = posts.withColumns({name: c.over(group) for name, c in of.items()}).where((F.col("n") > 1) & (F.col("n_soft") > 0))
+    return posts.select(F.xxhash64("n", "n_soft", "head", "sum").alias("key"), "doc_id", "row", "state", "n_soft", F.col("head.row").alias("head")).distinct()
+
+
+def _pairs(groups: DataFrame) -> DataFrame:
+    """row, head of all pairs of regions of one key of which one is soft."""
+    soft = groups.where(F.col("state") == SOFT).select("key", F.col("doc_id").alias("soft_id"), F.col("row").alias("soft"))
+    both = groups.join(soft, "key").where((F.col("doc_id") != F.col("soft_id")) & ((F.col("state") != SOFT) | (F.col("doc_id") > F.col("soft_id"))))
     mine = F.col("doc_id") > F.col("soft_id")
-    both = both.select(F.when(mine, F.col("row")).otherwise(F.col("soft")).alias("row"), F.when(mine, F.col("soft")).otherwise(F.col("row")).alias("head")).distinct()
-    return many, both
+    return both.select(F.when(mine, F.col("row")).otherwise(F.col("soft")).alias("row"), F.when(mine, F.col("soft")).otherwise(F.col("row")).alias("head")).distinct()
 
 
 def _hard(held: DataFrame) -> DataFrame:
@@ -408,26 +442,35 @@ def _hard(held: DataFrame) -> DataFrame:
 
 
 def _all_links(first: DataFrame, words: DataFrame, passage_words: int, percent: int) -> DataFrame:
-    """The links of the pairs ``first`` and of all others of their regions ``words`` that may be alike."""
+    """The links of the pairs ``first`` and of all others of their regions ``words`` that may be alike.
+
+    Of a key's regions all pairs are taken, unless more than ``FEW`` are soft: then each is held against
+    the first of them, which leads those that go on. Once that leaves no more pairs in all than ``first``
+    has, all of them are taken.
+    """
 
     def held_against(pairs: DataFrame) -> DataFrame:
-        mine = words.select("doc_id", "text_hash", "low", "words", "row")
-        there = words.select(F.col("doc_id").alias("source"), F.col("text_hash").alias("source_hash"), F.col("low").alias("source_low"), F.col("words").alias("source_words"), F.col("row").alias("head"))
+        mine = near_rows(words, pairs, "row").select("doc_id", "text_hash", "low", "words", "row")
+        heads = pairs.select(F.col("head").alias("row"))
+        there = near_rows(words, heads, "row").select(F.col("doc_id").alias("source"), F.col("text_hash").alias("source_hash"), F.col("low").alias("source_low"), F.col("words").alias("source_words"), F.col("row").alias("head"))
         both = pairs.join(mine, "row").join(there, "head").withColumn("leader", F.col("head"))
         return _verified(both.withColumns({c: F.lit(None).cast("int") for c in ("at", "to", "there", "there_to")}), passage_words, percent)
 
     held = staged(_verified(first, passage_words, percent), "held")
-    tried, last = [held], []
+    tried, last, most = [held], [], held.count()
     while True:
-        many, few = _rest(held)
-        last += [staged(_hard(held), "hard"), staged(few, "few")]
-        many = staged(many, "many")
-        if not many.take(1):
+        groups = staged(_groups(held), "groups")
+        large = F.col("n_soft") > FEW
+        made = groups.agg(F.coalesce(F.sum(F.when(large, F.col("n_soft"))), F.lit(0))).first()[0]
+        last += [_hard(held), _pairs(groups if made <= most else groups.where(~large))]
+        if made <= most:
             break
+        many = staged(groups.where(large & (F.col("row") != F.col("head"))).select("row", "head").distinct(), "many")
         held = staged(held_against(many), "held")
         tried.append(held)
-    tried.append(staged(held_against(reduce(DataFrame.unionAll, last).distinct()), "last"))
-    links = [t.select("doc_id", "text_hash", "source", "source_hash", F.inline("links")).distinct() for t in tried]
+    rest = staged(reduce(DataFrame.unionAll, last).distinct(), "rest")
+    tried.append(staged(held_against(rest).drop("beyond"), "last"))
+    links = [t.select("doc_id", "text_hash", "source", "source_hash", F.inline("links")) for t in tried]
     return reduce(DataFrame.unionAll, links).distinct()
 
 
@@ -533,11 +576,15 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, perce
     met = foreign.select(F.col("source").alias("doc_id"), F.col("there").alias("from"), F.col("there_to").alias("up_to")).distinct()
     shared = own.join(met, (own["doc_id"] == met["doc_id"]) & (F.col("there") <= F.col("up_to")) & (F.col("from") <= F.col("there_to")), "left_semi")
     wide = foreign.unionByName(staged(shared, "own"))
-    wanted = wide.select("doc_id", "low", "high").unionByName(wide.select(F.col("source").alias("doc_id"), F.col("source_low").alias("low"), F.col("source_high").alias("high"))).distinct()
-    wanted = staged(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("wanted")), "wanted")
-    words = staged(_region_words(near_rows(slim, wanted, "doc_id").join(wanted, "doc_id")).distinct().withColumn("row", F.xxhash64("doc_id", "text_hash", "low", "high")), "regions")
-    there = words.select(*[F.col(c).alias(n) for c, n in (("doc_id", "source"), ("text_hash", "source_hash"), ("low", "source_low"), ("high", "source_high"), ("words", "source_words"))])
-    pairs = wide.join(words, ["doc_id", "text_hash", "low", "high"]).join(there, ["source", "source_low", "source_high"])
+    wanted = wide.select("doc_id", "low", "high", F.lit(False).alias("led")).unionByName(wide.select(F.col("source").alias("doc_id"), F.col("source_low").alias("low"), F.col("source_high").alias("high"), F.lit(True).alias("led")))
+    wanted = wanted.groupBy("doc_id", "low", "high").agg(F.max("led").alias("led"), F.max(~F.col("led")).alias("own"))
+    wanted = staged(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "led", "own")).alias("wanted")), "wanted")
+    words = _region_words(near_rows(slim, wanted, "doc_id").join(wanted, "doc_id"))
+    if marked.groupBy("doc_id", "text_hash").count().where("count > 1").take(1):
+        words = words.distinct()
+    words = staged(words.withColumn("row", F.xxhash64("doc_id", "text_hash", "low", "high")), "regions")
+    there = words.where("led").select(*[F.col(c).alias(n) for c, n in (("doc_id", "source"), ("text_hash", "source_hash"), ("low", "source_low"), ("high", "source_high"), ("words", "source_words"))])
+    pairs = wide.join(words.where("own").drop("led", "own"), ["doc_id", "text_hash", "low", "high"]).join(there, ["source", "source_low", "source_high"])
     links = staged(_all_links(pairs.withColumn("leader", F.col("source")), words, passage_words, percent), "links")
 
     first_ids = firsts.select(F.col("first_id").alias("doc_id"), "text_hash")
